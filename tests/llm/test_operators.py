@@ -301,9 +301,9 @@ def test_secret_spans(spark, docs, texts):
     for t in [*made, *list(texts.values())]:
         assert [s for s in secret_scan.spans(t) if s[0] != "grammar"] == brute_base(t)
     assert [s[0] for s in secret_scan.spans(made[-1])] == ["grammar"]
-    row = next(r for r in catalog.op7_secret_scan(spark, SF).collect() if brute_base(texts[r.doc_id]))
-    listed = ",".join(f"{k}:{a}:{b}" for k, a, b in brute_base(texts[row.doc_id]))
-    assert row.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+    for row in catalog.op7_secret_scan(spark, SF).collect():
+        listed = ",".join(f"{k}:{a}:{b}" for k, a, b in brute_base(texts[row.doc_id]))
+        assert row.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
 
 
 def test_automata_know_held_out_credentials():
