@@ -4,7 +4,8 @@ A byte-level BPE that splits its input by the GPT-2 pattern, with no normaliser
 space, never joins characters across a space that stands between two other than white
 characters: the pattern starts a new piece at such a space whatever came before. The pieces
 between those spaces are therefore encoded once and remembered; any other tokenizer gets the
-whole text each time.
+whole text each time. Unknown pieces go to the library as texts of many, joined by such spaces, and
+the ids of each are found again by the number of bytes that every id stands for.
 """
 
 from __future__ import annotations
@@ -14,50 +15,53 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Callable
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
+import numpy as np  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 #: Pieces that a worker remembers, twice: those of late, and those before them. About 200 bytes each.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
+#: Unknown pieces that are joined into one text.
+JOINED = 128
 _GAP = re.compile(r"(?<=\S) (?=\S)")
-_UNEVEN = re.compile(r"\s\s|^\s|\s$")
-_WHITE = re.compile(r"\s")
-#: Ends of a piece that the pattern cuts off a run of letters as one run.
-_TAIL = ".,;:!?%$#&*"
-_LAST_LATIN = "\u024f"
 _OPEN: dict[str, "Encoder"] = {}
 
 
-def _plain_letters(s: str) -> bool:
-    return s.isalpha() and (s.isascii() or max(s) <= _LAST_LATIN)
+class _Memory(dict):
+    """Pieces to ids in two generations: what is asked for stays, the rest goes when a generation is full.
 
-
-def _byte_letters() -> dict[int, int]:
-    """Byte to code point in byte-level vocabularies: printable Latin-1 stays, the rest goes to U+0100 and on, in order."""
-    stay = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    moved = [b for b in range(256) if b not in stay]
-    return {b: 0x100 + i for i, b in enumerate(moved)}
-
-
-_BYTE_LETTERS = _byte_letters()
-
-
-class _Memory:
-    """A dictionary in two generations: what is asked for stays, the rest goes when a generation is full."""
+    An unknown piece reads as None and is noted in new, until learn() is told its ids.
+    """
 
     def __init__(self, limit: int):
-        self.limit, self.now, self.before = limit, {}, {}
+        super().__init__()
+        self.limit, self.before, self.new = limit, {}, []
+
+    def __missing__(self, piece: str) -> bytes | None:
+        ids = self.before.get(piece)
+        if ids is None:
+            self.new.append(piece)
+        self[piece] = ids
+        return ids
+
+    def learn(self, encoded: Callable[[list[str]], list[bytes]]) -> None:
+        self.update(zip(self.new, encoded(self.new), strict=True))
+        self.new = []
+
+    def forget(self, pieces: set[str]) -> None:
+        """Unlearn pieces that are new."""
+        self.new = [p for p in self.new if p not in pieces]
+        for p in pieces:
+            del self[p]
 
-    def unknown(self, keys: set[str]) -> list[str]:
-        """Of keys, those to be computed; all others can then be read from now."""
-        if len(self.now) > self.limit:
-            self.now, self.before = {}, self.now
-        now, before = self.now, self.before
-        missing = [k for k in keys if k not in now]
-        now.update((k, before[k]) for k in missing if k in before)
-        return [k for k in missing if k not in before]
+    def turn(self) -> None:
+        """Between batches: start a generation if this one is full."""
+        if len(self) > self.limit:
+            self.before = dict(self)
+            self.clear()
 
 
 class Encoder:
@@ -76,46 +80,28 @@ class Encoder:
             and not split.get("add_prefix_space")
             and split.get("use_regex", True)
         )
-        self.by_letters = Tokenizer.from_file(path)
-        self.by_letters.encode_special_tokens = True
-        self.by_letters.pre_tokenizer = None
-        self.first, self.later, self.atoms = _Memory(REMEMBERED // 4), _Memory(REMEMBERED), _Memory(REMEMBERED)
+        if self.by_piece:
+            self.tokenizer.model._resize_cache(0)  # it would be asked for no piece twice
+        vocabulary = self.tokenizer.get_vocab()
+        #: Bytes of each id; in a byte-level vocabulary every letter is one byte.
+        self.n_bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.n_bytes[i] = len(token)
+        self.memory = _Memory(REMEMBERED)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _atom_ids(self, atoms: list[str]) -> list[bytes]:
-        """As _ids; runs of Latin letters or marks go past the pattern, which would leave them whole."""
-        whole = [i for i, a in enumerate(atoms) if _plain_letters(a.removeprefix(" ")) or not a.strip(_TAIL)]
-        out: list[bytes] = [b""] * len(atoms)
-        as_bytes = [atoms[i].encode().decode("latin-1").translate(_BYTE_LETTERS) for i in whole]
-        for i, e in zip(whole, self.by_letters.encode_batch(as_bytes, add_special_tokens=False), strict=True):
-            out[i] = array("I", e.ids).tobytes()
-        rest = [i for i, x in enumerate(out) if not x]
-        for i, x in zip(rest, self._ids([atoms[i] for i in rest]), strict=True):
-            out[i] = x
-        return out
-
-    @staticmethod
-    def _atoms(lead: str, piece: str) -> list[str]:
-        """Parts of a piece that the pattern always cuts: single line feeds, and a run of marks after Latin letters."""
-        core = piece.rstrip(_TAIL)
-        if _plain_letters(core):
-            return [lead + core, piece[len(core) :]] if len(core) < len(piece) else [lead + core]
-        lines = piece.split("\n")
-        if len(lines) == 1 or not all(lines) or _WHITE.search("".join(lines)):
-            return [lead + piece]
-        out = Encoder._atoms(lead, lines[0])
-        for line in lines[1:]:
-            out += ["\n", *Encoder._atoms("", line)]
-        return out
-
-    def _learn(self, memory: _Memory, keys: set[str], lead: str) -> None:
-        made = {k: self._atoms(lead, k) for k in memory.unknown(keys)}
-        new = self.atoms.unknown({a for parts in made.values() for a in parts})
-        self.atoms.now.update(zip(new, self._atom_ids(new), strict=True))
-        get = self.atoms.now.__getitem__
-        memory.now.update((k, get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts))) for k, parts in made.items())
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _spaced_ids(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece with a space before it. Every piece starts with a character that is not white."""
+        raw = b"".join(self._ids([" " + " ".join(pieces[i : i + JOINED]) for i in range(0, len(pieces), JOINED)]))
+        ends = np.cumsum([len(p.encode()) + 1 for p in pieces])
+        upto = np.cumsum(self.n_bytes[np.frombuffer(raw, np.uint32)])
+        cuts = np.searchsorted(upto, ends)
+        if len(pieces) and not np.array_equal(upto.take(cuts, mode="clip"), ends):
+            return self._ids([" " + p for p in pieces])  # ids that do not stand for their bytes
+        cuts = (4 * (cuts + 1)).tolist()
+        return [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null is empty."""
@@ -130,15 +116,29 @@ class Encoder:
                 gc.enable()
 
     def _by_piece(self, texts: list[str | None]) -> list[bytes]:
-        # without doubled or outer white space, every single space is a gap
-        pieces = [[] if not t else _GAP.split(t) if _UNEVEN.search(t) else t.split(" ") for t in texts]
-        later: set[str] = set()
-        for p in pieces:
-            later.update(p[1:])
-        self._learn(self.first, {p[0] for p in pieces if p}, "")
-        self._learn(self.later, later, " ")
-        get = self.later.now.__getitem__
-        return [self.first.now[p[0]] + b"".join(map(get, p[1:])) if p else b"" for p in pieces]
+        memory = self.memory
+        memory.turn()
+        known = memory.__getitem__
+        pieces = [t.split(" ") if t else [""] for t in texts]
+        heads, tails = [p.pop(0) for p in pieces], {}
+        found = [list(map(known, p)) for p in pieces]
+        uneven = {p for p in memory.new if not p or p[0].isspace() or p[-1].isspace()}
+        if uneven or any(h[-1:].isspace() for h in heads):  # a space beside white space is no gap
+            memory.forget(uneven)
+            for i, text in enumerate(texts):
+                if heads[i][-1:].isspace() or not uneven.isdisjoint(pieces[i]):
+                    heads[i], *pieces[i] = _GAP.split(text)
+                    if pieces[i]:
+                        tails[i] = pieces[i].pop()
+                    found[i] = list(map(known, pieces[i]))
+        memory.learn(self._spaced_ids)
+        for own, p in zip(found, pieces, strict=True):
+            at = -1
+            for _ in range(own.count(None)):
+                at = own.index(None, at + 1)
+                own[at] = memory[p[at]]
+        ends = dict(zip(tails, self._ids([" " + t for t in tails.values()]), strict=True))
+        return [head + b"".join(own) + ends.get(i, b"") for i, (head, own) in enumerate(zip(self._ids(heads), found, strict=True))]
 
 
 def encoder(path: str) -> Encoder:
