@@ -6,8 +6,9 @@ directory (set bits before each block of RANK_BLOCK bits) turns a position in on
 position in the next, so any id is read from as many places as it has chunks, without decoding others.
 
 A file is a shard: the documents of one run of ascending (id, text), as many as make SHARD_TOKENS ids,
-one document at least. Shards are rows of a Parquet table (shard, n_docs, n_tokens, base, doc_ids,
-lengths, payload); Spark's commit protocol drops what lost executors left half written.
+one document at least. Shards are rows of a Parquet table (part, shard, n_docs, n_tokens, within, doc_ids,
+lengths, payload), within being the ids of the part's shards before; Spark's commit protocol drops what
+lost executors left half written.
 
 Payload, little-endian: uint32 number of ids, uint32 number of levels, then for each level uint32 number
 of chunks, the chunks (uint8), and but for the last level the rank directory (uint32) and the
@@ -91,16 +92,17 @@ class Codes:
 
     def all(self) -> np.ndarray:
         """Every id, in order."""
-        out = np.zeros(self.n, np.uint32)
-        where = np.arange(self.n)
+        out, where = self.levels[0][0].astype(np.uint32), None
         for k, (chunks, _, bits) in enumerate(self.levels):
-            out[where] |= chunks.astype(np.uint32) << np.uint32(CHUNK_BITS * k)
+            if k:
+                out[where] |= chunks.astype(np.uint32) << np.uint32(CHUNK_BITS * k)
             if bits is not None:
-                where = where[np.unpackbits(bits, count=len(chunks), bitorder="little").astype(bool)]
+                on = np.unpackbits(bits, count=len(chunks), bitorder="little").view(bool)
+                where = np.flatnonzero(on) if where is None else where[on]
         return out
 
 
-_SHARDS = "part int, shard int, n_docs long, n_tokens long, doc_ids array<long>, lengths array<long>, payload binary"
+_SHARDS = "part int, shard int, n_docs long, n_tokens long, within long, doc_ids array<long>, lengths array<long>, payload binary"
 
 
 def _write_shards(path: str, end_id: int, shard_tokens: int):
@@ -109,13 +111,13 @@ def _write_shards(path: str, end_id: int, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, shard, held, ids, lengths = TaskContext.get().partitionId(), 0, [], [], []
+        part, shard, within, held, ids, lengths = TaskContext.get().partitionId(), 0, 0, [], [], []
 
         def shut() -> pa.RecordBatch:
             total = np.frombuffer(b"".join(held), "<u4")
-            row = [[part], [shard], [len(ids)], [len(total)], [ids], [lengths], [pack_codes(total)]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            names = ["part", "shard", "n_docs", "n_tokens", "doc_ids", "lengths", "payload"]
+            row = [[part], [shard], [len(ids)], [len(total)], [within], [ids], [lengths], [pack_codes(total)]]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+            names = ["part", "shard", "n_docs", "n_tokens", "within", "doc_ids", "lengths", "payload"]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=names)
 
         size = 0
@@ -128,7 +130,7 @@ def _write_shards(path: str, end_id: int, shard_tokens: int):
                     size += lengths[-1]
                     if size >= shard_tokens:
                         yield shut()
-                        shard, size, held, ids, lengths = shard + 1, 0, [], [], []
+                        shard, within, size, held, ids, lengths = shard + 1, within + size, 0, [], [], []
         if ids:
             yield shut()
 
@@ -175,13 +177,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     """The shard table, with base: the number of ids in all shards before."""
     shards = spark.read.schema(_SHARDS).parquet(f"{path}/shards")
     parts = spark.read.schema("part int, part_base long").parquet(f"{path}/parts")
-    a, b = shards.select("part", "shard", "n_tokens").alias("a"), shards.select("part", "shard", "n_tokens").alias("b")
-    before = (
-        a.join(b, F.expr("a.part = b.part and b.shard < a.shard"), "left")
-        .groupBy("a.part", "a.shard")
-        .agg(F.coalesce(F.sum("b.n_tokens"), F.lit(0)).alias("within"))
-    )
-    return shards.join(before, ["part", "shard"]).join(F.broadcast(parts), "part").withColumn("base", F.expr("part_base + within")).drop("part_base", "within")
+    return shards.join(F.broadcast(parts), "part").withColumn("base", F.col("part_base") + F.col("within")).drop("part_base", "within")
 
 
 _INDEX = "doc_id long, start long, n_tokens long, ids_crc32 long"
