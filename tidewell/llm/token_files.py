@@ -30,8 +30,8 @@ from tidewell.llm.scratch import Scratch
 from tidewell.llm.tokens import encoder
 
 CHUNK_BITS, RANK_BLOCK = 8, 512
-#: Ids of a shard at which it is closed; about 9 MB.
-SHARD_TOKENS = 1 << 22
+#: Ids of a shard at which it is closed; about 2 MB, and ten times that while it is packed.
+SHARD_TOKENS = 1 << 20
 #: Text that one task of the sort by id is meant to have.
 TASK_BYTES = 48 << 20
 
