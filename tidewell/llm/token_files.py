@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.scratch import Scratch
-from tidewell.llm.tokens import encoder
+from tidewell.llm.tokens import encoder, release
 
 CHUNK_BITS, RANK_BLOCK = 8, 512
 #: Ids of a shard at which it is closed; about 2 MB, and ten times that while it is packed.
@@ -184,6 +184,7 @@ _INDEX = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()  # the worker may have encoded before
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1).to_pylist()[0]

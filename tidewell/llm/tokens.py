@@ -146,3 +146,8 @@ def encoder(path: str) -> Encoder:
     if path not in _OPEN:
         _OPEN[path] = Encoder(path)
     return _OPEN[path]
+
+
+def release() -> None:
+    """Forget the encoders of this worker, with all that they remember."""
+    _OPEN.clear()
