@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, a round trip or held-out accuracy, and on odd tables."""
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -181,6 +182,46 @@ def test_near_vectors_against_all_pairs(spark):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def dense_cone(n=24000, in_cone=8000, dim=64, planted=400):
+    """A third of all vectors mutually at about 0.85, and pairs at 0.902 within it with far apart ids."""
+    rng = np.random.default_rng(11)
+
+    def unit(v):
+        return v / np.linalg.norm(v, axis=-1, keepdims=True)
+
+    x = unit(rng.standard_normal((n, dim)))
+    axis = unit(rng.standard_normal(dim))
+    side = rng.standard_normal((in_cone, dim))
+    side = unit(side - (side @ axis)[:, None] * axis)
+    x[:in_cone] = math.sqrt(0.8) * axis + math.sqrt(0.2) * side
+    for i in range(planted):
+        a, b = x[i], rng.standard_normal(dim)
+        b = unit(b - (b @ a) * a)
+        x[in_cone - 1 - i] = 0.902 * a + math.sqrt(1 - 0.902**2) * b
+    return x
+
+
+@pytest.mark.parametrize("window", [embedding_dedup.WINDOW, 64])
+def test_near_vectors_in_a_dense_cone(spark, window):
+    x = dense_cone()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embedding_dedup.near_vectors(df, window=window).collect()}
+    near = np.triu(embedding_dedup.cosines(x, x) >= 0.9, 1)
+    links = [(int(a), int(b)) for a, b in zip(*np.nonzero(near), strict=True)]
+    assert len(links) >= 400
+    assert {i: r.component_id for i, r in got.items()} == reach(range(len(x)), links)
+    assert sum(r.n_links for r in got.values()) == 2 * len(links)
+
+
+def test_passes_follow_measured_runs():
+    together = embedding_dedup.kept_together(64, 0.9)
+    spread, cone = [128.0**-k for k in range(9)], [0.9 * 128.0**-k + 0.1 * 0.4**k for k in range(9)]
+    assert embedding_dedup.least_work(5000, spread, together) == (1, 0)
+    many, few = embedding_dedup.least_work(10**7, cone, together), embedding_dedup.least_work(10**7, spread, together)
+    assert many[1] > few[1] > 0 and many[0] > few[0]
+    assert all(1 - (1 - together**k) ** t >= 0.9999 for t, k in (many, few))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=1500))
 def test_codes_round_trip(ids):
