@@ -320,6 +320,25 @@ def test_plans_are_whole_and_no_worse_than_best_fit(counts):
     assert sum(t for _, t in packing.best_fit(counts, 30)) == len(rooms)
 
 
+def test_plans_take_lengths_less_often_than_they_fit():
+    counts = {818: 4, 615: 12, 409: 4}
+    assert packing.lower_bound(counts, 2048) == 6 == sum(t for _, t in packing.plan(counts, 2048))
+
+
+def fewest_sequences(pieces, capacity):
+    """By all ways to put each piece, the largest first, into a sequence or a new one."""
+    now = {()}
+    for n in sorted(pieces, reverse=True):
+        now = {tuple(sorted(x)) for rooms in now for x in [(*rooms, capacity - n), *((*rooms[:i], r - n, *rooms[i + 1 :]) for i, r in enumerate(rooms) if r >= n)]}
+    return min(map(len, now))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(4, 30), min_size=1, max_size=9))
+def test_small_plans_have_the_fewest_sequences(pieces):
+    assert sum(t for _, t in packing.plan(dict(Counter(pieces)), 40)) == fewest_sequences(pieces, 40)
+
+
 def brute_base(text):
     found = []
     assign = re.compile("(?ai)(?:password|passwd|secret|token|api_?key)")

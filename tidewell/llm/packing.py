@@ -3,9 +3,11 @@
 A document longer than a sequence is cut: whole sequences at its end, the remainder first.
 Every other piece stays whole. Pieces of one length are interchangeable, so the plan is made
 on the number of pieces of each length (at most `capacity` numbers, whatever the corpus), by bin
-completion (Korf): take the largest length left, enumerate undominated fillings around it, use
-one as often as the counts allow, go on. Best-fit decreasing is the first incumbent; a node is
-pruned when the waste so far already forces as many sequences as the incumbent has.
+completion (Korf): take the largest length left, enumerate undominated fillings around it, the fullest
+first, use one as often as the counts allow, then once less and so on, go on. Fillings around one length
+are taken in their order only, so none is tried in two orders. Best-fit decreasing is the first incumbent;
+a node is pruned when the waste so far already forces as many sequences as the incumbent has. The search
+is whole unless it runs out of NODES or LOOKED; what it has found by then is no worse than best-fit.
 The plan is a table of runs (length, ranks from, to) -> (sequence, offset), and each piece finds
 its place by its rank among the pieces of its length.
 """
@@ -26,8 +28,8 @@ from tidewell.llm.tokens import encoder
 
 #: A filling: its lengths with how often each occurs, largest first.
 Filling = tuple[tuple[int, int], ...]
-#: Fillings looked at for each node, and nodes of the search in all. The plan is whole when they run out.
-FILLINGS, NODES = 24, 4_000
+#: Nodes of a search for a better plan, and fillings looked at in all its nodes. The plan is whole when they run out.
+NODES, LOOKED = 4_000, 96_000
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
@@ -80,67 +82,99 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]
     return [x for kept in open_.values() for x in kept]
 
 
-def fillings(counts: dict[int, int], lengths: list[int], room: int, most: int) -> list[Filling]:
-    """Undominated ways to fill room from what counts has, the fullest first, most of them at most.
+def _sums(counts: dict[int, int], lengths: list[int], room: int) -> list[int]:
+    """For each number of lengths, the sums up to room that these can have, as bits."""
+    sums, all_ = [1], (1 << (room + 1)) - 1
+    for n in lengths:
+        now, left, step = sums[-1], min(counts[n], room // n), 1
+        while left:
+            take = min(step, left)
+            now |= (now << (take * n)) & all_
+            left, step = left - take, 2 * step
+        sums.append(now)
+    return sums
+
 
-    A way that leaves room for a length still there, or in which one length could be replaced by a
-    larger one, is dominated. lengths is ascending.
+def fillings(counts: dict[int, int], room: int, most_gap: int, look: Iterator, after: tuple[int, Filling] | None = None) -> Iterator[tuple[int, Filling]]:
+    """(gap, filling) for every undominated way to fill room from what counts has, by gap, then the largest lengths first.
+
+    A way is dominated if a length still there fits into its gap, or fits in place of one or two of its
+    pieces without being shorter. Ways up to and with after are left out. One is taken from look for each way looked at.
     """
-    found: dict[Filling, int] = {}
-    steps = 0
-
-    def go(room_left: int, top: int, chosen: list[tuple[int, int]]) -> None:
-        nonlocal steps
-        steps += 1
-        i = bisect.bisect_right(lengths, min(room_left, top - 1)) - 1
-        while i >= 0 and not counts.get(lengths[i]):
-            i -= 1
-        if i < 0:
-            found[tuple(chosen)] = room_left
-            return
-        tried = 0
-        while i >= 0 and tried < 6 and len(found) < most and steps < 40 * most:
-            length = lengths[i]
-            if counts.get(length):
-                tried += 1
-                each = min(counts[length], room_left // length)
-                go(room_left - each * length, length, [*chosen, (length, each)])
-                if any(r == 0 for r in list(found.values())[-1:]):
-                    return
-            i -= 1
+    lengths = sorted(n for n, c in counts.items() if c and n <= room)
+    sums = _sums(counts, lengths, room)
+    there = sum(1 << n for n, c in counts.items() if c)
 
-    go(room, room + 1, [])
-    return [f for f, _ in sorted(found.items(), key=lambda x: x[1])]
+    def go(i: int, left: int) -> Iterator[Filling]:
+        if not left:
+            yield ()
+            return
+        for k in range(min(i, bisect.bisect_right(lengths, left) - 1), -1, -1):
+            if not sums[k + 1] >> left & 1:
+                return
+            n = lengths[k]
+            for m in range(min(counts[n], left // n), 0, -1):
+                if sums[k] >> (left - m * n) & 1:
+                    for rest in go(k - 1, left - m * n):
+                        yield ((n, m), *rest)
+
+    def dominated(gap: int, way: Filling) -> bool:
+        rest = there
+        for n, m in way:
+            if m == counts[n]:
+                rest ^= 1 << n
+        if rest & ((1 << (gap + 1)) - 1):
+            return True
+        for at, (n, m) in enumerate(way):
+            if (rest >> (n + 1)) & ((1 << gap) - 1) or (m > 1 and (rest >> 2 * n) & ((1 << (gap + 1)) - 1)):
+                return True
+            if any((rest >> (n + o)) & ((1 << (gap + 1)) - 1) for o, _ in way[at + 1 :]):
+                return True
+        return False
+
+    forced = 0
+    for gap in range(min(most_gap, room) + 1):
+        forced += gap * counts.get(gap, 0)
+        if forced > room - gap:  # what fits into the gap does not all fit beside it
+            return
+        if after and gap < after[0] or not sums[-1] >> (room - gap) & 1:
+            continue
+        for way in go(len(lengths) - 1, room - gap):
+            if next(look, None) is None:
+                return
+            if not (after and gap == after[0] and way >= after[1]) and not dominated(gap, way):
+                yield gap, way
 
 
 def _completions(counts: dict[int, int], capacity: int, incumbent: int) -> list[tuple[Filling, int]] | None:
     """A packing with fewer sequences than incumbent, if the search finds one."""
     total = sum(n * c for n, c in counts.items())
     allowed = (incumbent - 1) * capacity - total
-    lengths = sorted(counts)
-    left, made, waste, nodes = dict(counts), [], 0, 0
-    stack: list[tuple[int, Iterator]] = []
-
-    def choices() -> Iterator[tuple[Filling, int, int]]:
-        top = next(n for n in reversed(lengths) if left[n])
-        left[top] -= 1
-        ways = fillings(left, lengths, capacity - top, FILLINGS)
-        left[top] += 1
-        for way in ways:
-            use: dict[int, int] = {top: 1}
-            for n, c in way:
-                use[n] = use.get(n, 0) + c
-            gap = capacity - sum(n * c for n, c in use.items())
-            times = min(left[n] // c for n, c in use.items())
-            yield tuple(sorted(use.items(), reverse=True)), times, gap
-
     if allowed < 0:
         return None
-    remaining = sum(counts.values())
-    stack.append((0, choices()))
+    left, remaining, made, nodes = dict(counts), sum(counts.values()), [], 0
+    lengths, look = sorted(counts, reverse=True), iter(range(LOOKED))
+
+    def choices(waste: int, before: tuple[int, int, Filling] | None) -> Iterator[tuple[Filling, int, int, tuple]]:
+        """The fillings around the largest length left, after the one before if it was around the same, with times and waste."""
+        top = next(n for n in lengths if left[n])
+        own = {n: c for n, c in left.items() if c}
+        own[top] -= 1
+        after = before[1:] if before and before[0] == top else None
+        for gap, way in fillings(own, capacity - top, allowed - waste, look, after):
+            use = dict(way)
+            use[top] = use.get(top, 0) + 1
+            times = min(left[n] // c for n, c in use.items())
+            if gap:
+                times = min(times, (allowed - waste) // gap)
+            filling = tuple(sorted(use.items(), reverse=True))
+            for t in range(times, 0, -1):
+                yield filling, t, waste + t * gap, (top, gap, way)
+
+    stack = [choices(0, None)]
     while stack and nodes < NODES:
         nodes += 1
-        step = next(stack[-1][1], None)
+        step = next(stack[-1], None)
         if step is None:
             stack.pop()
             if made:
@@ -148,21 +182,15 @@ def _completions(counts: dict[int, int], capacity: int, incumbent: int) -> list[
                 for n, c in filling:
                     left[n] += c * times
                     remaining += c * times
-                waste -= times * (capacity - sum(n * c for n, c in filling))
-            continue
-        filling, times, gap = step
-        if gap:
-            times = min(times, (allowed - waste) // gap)
-        if times <= 0:
             continue
+        filling, times, waste, which = step
         for n, c in filling:
             left[n] -= c * times
             remaining -= c * times
-        waste += gap * times
         made.append((filling, times))
         if not remaining:
             return made
-        stack.append((waste, choices()))
+        stack.append(choices(waste, which))
     return None
 
 
