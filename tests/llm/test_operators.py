@@ -432,6 +432,17 @@ def test_shared_lines_deplete(spark):
     assert all((not got[i].kept and got[i].words_removed == 200) if i < 20 else got[i].kept for i in got)
 
 
+def test_shared_lines_are_cut_from_the_text(spark):
+    own = [" ".join(f"u{i}x{j}" for j in range(30)) for i in range(40)]
+    rows = [(i, "h", own[i] + "\n\n  Common LINE of\tmany \n" + "end" + str(i) if i < 20 else own[i], i / 2) for i in range(40)]
+    rows += [(40, "h", "too short", 0.0), (41, "h", None, 0.0), (42, None, own[0] + "\ncommon line of many", 0.0)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, extra double")
+    clean = line_rules.clean_documents(df)
+    assert clean.columns == df.columns
+    want = {i: (own[i] + "\n\n" + "end" + str(i) if i < 20 else own[i], i / 2) for i in range(40)} | {42: (rows[42][2], 0.0)}
+    assert {r.doc_id: (r.text, r.extra) for r in clean.collect()} == want
+
+
 def test_pipeline(spark, texts):
     import corpus_pipeline
 

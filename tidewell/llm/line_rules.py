@@ -8,14 +8,14 @@ than `depleted` percent of its words is rejected.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tidewell.llm.scratch import Scratch
 from tidewell.llm.words import window_hashes, word_hashes, word_list
@@ -42,26 +42,31 @@ def normal_line(line: str) -> bytes:
     return b" ".join(line.encode().lower().split())
 
 
-def measures(text: str | None) -> tuple[int, int, int, int, int, dict[int, int]]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and the words in each normal line (by hash)."""
+def measures(text: str | None) -> tuple[int, int, int, int, int, set[int]]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and the normal lines (by hash)."""
     text = text or ""
     words = word_list(text)
     lines = [x for x in text.split("\n") if x.strip(_WHITE)]
-    own: Counter[int] = Counter()
-    for line in lines:
-        normal = normal_line(line)
-        own[xxhash.xxh3_64_intdigest(normal) - (1 << 63)] += normal.count(b" ") + 1
     return (
         len(words),
         len(text) - sum(map(text.count, _WHITE)),
         sum(map(text.count, _SYMBOLS)),
         len(lines) - len(set(lines)),
         repeated_words(word_hashes(words)),
-        own,
+        {line_hash(normal_line(x)) for x in lines},
     )
 
 
-_MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, fa long, fb long, lines array<long>, line_words array<long>"
+def line_hash(normal: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(normal) - (1 << 63)
+
+
+def without_lines(text: str, common: set[int]) -> str:
+    """text without the lines whose normal form is common; blank lines stay."""
+    return "\n".join(x for x in text.split("\n") if not x.strip(_WHITE) or line_hash(normal_line(x)) not in common)
+
+
+_MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, fa long, fb long, lines array<long>"
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,8 +78,73 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             prints = [None if t is None else np.frombuffer(xxhash.xxh3_128_digest(t), np.int64) for t in texts]
             columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(5)]
             columns += [pa.array([None if p is None else int(p[i]) for p in prints], pa.int64()) for i in range(2)]
-            columns += [pa.array([list(r[5]) for r in rows], pa.list_(pa.int64())), pa.array([list(r[5].values()) for r in rows], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["id", "host", *names])
+            columns += [pa.array([list(r[5]) for r in rows], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *columns], names=["id", "host", "text", *names])
+
+
+_COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text without its common lines, and how many words fewer it has."""
+    for batch in batches:
+        texts, lost = batch.column("text").to_pylist(), []
+        for i, common in enumerate(batch.column("common").to_pylist()):
+            if common:
+                whole = texts[i]
+                texts[i] = without_lines(whole, set(common))
+                lost.append(len(word_list(whole)) - len(word_list(texts[i])))
+            else:
+                lost.append(0)
+        kept = [batch.column(c) for c in ("id", *_COUNTS)]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string()), pa.array(lost, pa.int64())], names=["id", *_COUNTS, "text", "words_removed"])
+
+
+def _typed(id_field: StructField, rest: str) -> StructType:
+    return StructType([StructField("id", id_field.dataType), *StructType.fromDDL(rest).fields])
+
+
+def _cut_rows(docs: DataFrame, ident: Column, text_col: str, host_col: str, least_docs: int, share_percent: int, depleted_percent: int) -> DataFrame:
+    """(id, the counts, text without common lines, words_removed, base_failed, kept) of every row; id is ident."""
+    scratch = Scratch(docs.sparkSession, "quality-rules")
+    plain = docs.select(ident.alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
+    of_id = plain.schema["id"]
+    rows = scratch.keep(plain.mapInArrow(_measure, _typed(of_id, f"host string, text string, {_MEASURES}")), "measures")
+
+    # one row for each distinct text of a host, so that copies neither count twice nor are looked up twice
+    texts = rows.filter("fa is not null").groupBy("host", "fa", "fb").agg(F.max("lines").alias("lines"))
+    texts = scratch.keep(texts.select(F.coalesce(F.xxhash64("host"), F.lit(0)).alias("h"), F.col("host").isNull().alias("no_host"), "fa", "fb", "lines"), "texts")
+    host = ["h", "no_host"]
+    hosts = texts.groupBy(*host).agg(F.count("*").alias("of_host"))
+    pairs = texts.select(*host, F.explode("lines").alias("line"))
+    counts = pairs.groupBy(*host, "line").agg(F.count("*").alias("docs")).filter(F.col("docs") > least_docs)
+    common = counts.join(hosts, host).filter(F.expr(f"100 * docs > {share_percent} * of_host"))
+    # written, so that its size is known: where it is small no text is shuffled
+    common = scratch.keep(common.groupBy(*host).agg(F.collect_list("line").alias("of_host_lines")), "common")
+
+    keyed = rows.select(
+        "id", *_COUNTS, "text", "lines", F.coalesce(F.xxhash64("host"), F.lit(0)).alias("h"), F.col("host").isNull().alias("no_host")
+    )
+    joined = keyed.join(common, host, "left").select("id", *_COUNTS, "text", F.array_intersect("lines", "of_host_lines").alias("common"))
+    cut = joined.mapInArrow(_cut, _typed(of_id, ", ".join(f"{c} long" for c in _COUNTS) + ", text string, words_removed long"))
+    base_failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
+    return cut.withColumn("base_failed", base_failed).withColumn(
+        "kept", ~F.col("base_failed") & (100 * F.col("words_removed") <= depleted_percent * F.col("n_words"))
+    )
+
+
+def clean_documents(
+    docs: DataFrame,
+    text_col: str = "text",
+    host_col: str = "source",
+    least_docs: int = LEAST_DOCS,
+    share_percent: int = SHARE_PERCENT,
+    depleted_percent: int = DEPLETED_PERCENT,
+) -> DataFrame:
+    """The documents that quality_rules keeps, with all their columns, and common lines cut from the text."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
+    rows = _cut_rows(docs, whole, text_col, host_col, least_docs, share_percent, depleted_percent).filter("kept")
+    return rows.select(*[F.col("text").alias(c) if c == text_col else F.col("id")[c].alias(c) for c in docs.columns])
 
 
 def quality_rules(
@@ -91,35 +161,10 @@ def quality_rules(
     base_failed: under 20 words, or over 30 percent of them in repeated 8-word windows. kept: not base_failed, and the
     removed lines hold no more than depleted_percent of the words. A null text has no words and fails; a
     null host is a host. Null or repeated ids are rows like any other. Further columns are not read.
+    words_removed is counted on the text that clean_documents gives.
     """
-    scratch = Scratch(docs.sparkSession, "quality-rules")
-    kind = docs.schema[id_col].dataType.simpleString()
-    plain = docs.select(F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
-    rows = scratch.keep(plain.mapInArrow(_measure, f"id {kind}, host string, {_MEASURES}"), "measures")
-
-    # one row for each distinct text of a host, so that copies neither count twice nor are looked up twice
-    texts = rows.filter("fa is not null").groupBy("host", "fa", "fb").agg(F.max(F.struct("lines", "line_words")).alias("x"))
-    texts = scratch.keep(texts.select(F.coalesce(F.xxhash64("host"), F.lit(0)).alias("h"), F.col("host").isNull().alias("no_host"), "host", "fa", "fb", "x.lines", "x.line_words"), "texts")
-    host = ["h", "no_host"]
-    hosts = texts.groupBy(*host).agg(F.count("*").alias("of_host"))
-    pairs = texts.select(*host, "fa", "fb", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select(
-        *host, "fa", "fb", F.col("l.lines").alias("line"), F.col("l.line_words").alias("n")
-    )
-    counts = pairs.groupBy(*host, "line").agg(F.count("*").alias("docs")).filter(F.col("docs") > least_docs)
-    common = counts.join(hosts, host).filter(F.expr(f"100 * docs > {share_percent} * of_host")).select(*host, "line")
-    removed = pairs.join(common, [*host, "line"]).groupBy(*host, "fa", "fb").agg(F.sum("n").alias("words_removed"))
-
-    base_failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
-    lost = F.coalesce("words_removed", F.lit(0)).cast("long")
-    keyed = rows.select(
-        "id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "fa", "fb",
-        F.coalesce(F.xxhash64("host"), F.lit(0)).alias("h"), F.col("host").isNull().alias("no_host"),
-    )
-    return keyed.join(removed, [*host, "fa", "fb"], "left").select(
-        F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base_failed.alias("base_failed"), lost.alias("words_removed"),
-        (~base_failed & (100 * lost <= depleted_percent * F.col("n_words"))).alias("kept"),
-    )
+    rows = _cut_rows(docs, F.col(id_col), text_col, host_col, least_docs, share_percent, depleted_percent)
+    return rows.select(F.col("id").alias(id_col), *_COUNTS, "base_failed", "words_removed", "kept")
 
 
 #: DuckDB: the same table of documents.
