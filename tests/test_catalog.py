@@ -41,3 +41,21 @@ def test_query_matches_sql(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+LARGER = "/root/testdata/sf0.01"
+
+
+@pytest.mark.parametrize("name, table", [("arithmetic", "lineitem"), ("order_nulls", "customer")])
+def test_whole_tables(spark, name, table):
+    assert catalog.queries()[name](spark, LARGER).count() == spark.read.parquet(f"{LARGER}/{table}.parquet").count()
+
+
+def test_full_join_of_all_customers(spark):
+    joined = catalog.queries()["join_full"](spark, LARGER)
+    assert joined.filter("ca is not null").count() == spark.read.parquet(f"{LARGER}/customer.parquet").count()
+
+
+def test_order_of_nulls(spark):
+    got = [r.s for r in catalog.queries()["order_nulls"](spark, LARGER).collect()]
+    assert None in got and got == sorted(got, key=lambda s: (s is None, s or ""))

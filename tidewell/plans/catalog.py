@@ -28,8 +28,8 @@ SQL: dict[str, str | tuple[str, str]] = {
     "quoted_identifiers": 'SELECT n."n_name" AS "Name", n."n_nationkey" FROM nation AS n WHERE "n_regionkey" = 1',
     "constant_scan": "SELECT 1 AS id, 'test' AS name",
     "literal_in_select": "SELECT 'x' AS tag, n_nationkey FROM nation",
-    "arithmetic": ("SELECT l_orderkey, l_linenumber, round(l_quantity * l_extendedprice * (1 - l_discount), 4) AS net, l_linenumber % 3 AS m, l_linenumber div 2 AS h FROM lineitem WHERE l_orderkey < 2000",
-                   "SELECT l_orderkey, l_linenumber, round(l_quantity * l_extendedprice * (1 - l_discount), 4) AS net, l_linenumber % 3 AS m, (l_linenumber // 2)::BIGINT AS h FROM lineitem WHERE l_orderkey < 2000"),
+    "arithmetic": ("SELECT l_orderkey, l_linenumber, round(l_quantity * l_extendedprice * (1 - l_discount), 4) AS net, l_linenumber % 3 AS m, l_linenumber div 2 AS h FROM lineitem",
+                   "SELECT l_orderkey, l_linenumber, round(l_quantity * l_extendedprice * (1 - l_discount), 4) AS net, l_linenumber % 3 AS m, (l_linenumber // 2)::BIGINT AS h FROM lineitem"),
     "casts": "SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(12,2)) AS price, CAST(o_orderkey AS INT) AS k, CAST(o_orderkey AS STRING) AS s, CAST(o_totalprice AS FLOAT) AS f FROM orders",
     "comparisons": "SELECT p_partkey FROM part WHERE p_size >= 10 AND p_size < 40 AND p_size <> 20 AND (p_retailprice > 1000 OR p_brand = 'Brand#11') AND 1 = 1",
     "in_like_between": "SELECT p_partkey, p_name FROM part WHERE p_size IN (1, 5, 9, 13) AND p_name LIKE '%a%' AND p_retailprice BETWEEN 900 AND 1500 AND NOT p_brand ILIKE '%#5_'",
@@ -50,7 +50,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     "join_inner": "SELECT o.o_orderkey, c.c_name FROM orders o INNER JOIN customer c ON o.o_custkey = c.c_custkey",
     "join_left_summary": "SELECT c.c_custkey, count(o.o_orderkey) AS n, round(coalesce(sum(o.o_totalprice), 0), 2) AS spent FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey GROUP BY c.c_custkey",
     "join_right": "SELECT s.s_suppkey, n.n_name FROM (SELECT * FROM supplier WHERE s_acctbal > 5000) s RIGHT JOIN nation n ON s.s_nationkey = n.n_nationkey",
-    "join_full": "SELECT a.c_custkey AS ca, b.s_suppkey AS sb FROM (SELECT * FROM customer WHERE c_custkey < 200) a FULL JOIN (SELECT * FROM supplier WHERE s_suppkey > 50) b ON a.c_custkey = b.s_suppkey",
+    "join_full": "SELECT a.c_custkey AS ca, b.s_suppkey AS sb FROM customer a FULL JOIN (SELECT * FROM supplier WHERE s_suppkey > 50) b ON a.c_custkey = b.s_suppkey",
     "join_cross": "SELECT r_name, n_name FROM region CROSS JOIN nation",
     "join_using": "SELECT n_nationkey, x FROM nation JOIN (SELECT s_nationkey AS n_nationkey, count(*) AS x FROM supplier GROUP BY s_nationkey) USING (n_nationkey)",
     "join_natural": "SELECT n_nationkey, n_name, k FROM nation NATURAL JOIN (SELECT n_nationkey, n_regionkey * 2 AS k FROM nation)",
@@ -88,7 +88,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     # order, limits, sets
     "top_k": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 25",
     "limit_offset": "SELECT p_partkey FROM part ORDER BY p_partkey LIMIT 10 OFFSET 20",
-    "order_nulls": "SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS s FROM customer ORDER BY s ASC NULLS LAST, c_custkey LIMIT 40",
+    "order_nulls": "SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS s FROM customer ORDER BY s ASC NULLS LAST, c_custkey",
     "limit_in_cte": "WITH t AS (SELECT * FROM events ORDER BY event_id LIMIT 512) SELECT event_type, count(*) AS n FROM t GROUP BY event_type",
     "distinct_on": "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_totalprice, o_orderkey",
     "union_all": "SELECT n_nationkey AS k FROM nation UNION ALL SELECT c_nationkey FROM customer",
