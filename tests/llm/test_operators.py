@@ -10,12 +10,13 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tidewell.llm import catalog, chat_format, embedding_dedup, language_id, line_rules, mixing, near_dedup, packing, quality_model, secret_scan, token_files
+from tidewell.llm import catalog, chat_format, embedding_dedup, language_id, line_rules, mixing, near_dedup, packing, quality_model, secret_scan, token_files, tokens
 from tidewell.llm.components import components
 from tidewell.llm.scratch import Scratch
 from tidewell.llm.tokens import encoder
@@ -238,6 +239,24 @@ def test_encoder_equals_the_whole_text(some):
     assert e.encode(some) == e._ids(some)
 
 
+def test_encoder_forgets_and_cuts(texts, monkeypatch):
+    """Whatever is remembered, and wherever long texts are cut, the ids are those of the whole text."""
+    whole = [t for t in texts.values() if t] + [LONG, "x" * 5000, " a  b \n c " * 500, "é " * 3000]
+    want = encoder(PATH)._ids(whole)
+    monkeypatch.setattr(tokens, "GROUP_POINTS", 700)
+    monkeypatch.setattr(tokens, "REMEMBERED_BYTES", 20_000)
+    small = tokens.Encoder(PATH)
+    assert small.encode(whole) == want and small.encode(whole[::-1]) == want[::-1]
+    assert small.memory.words.nbytes + small.memory.ids.nbytes <= 20_000
+
+
+def test_slices_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(tokens, "GROUP_POINTS", 10)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["a" * 4, None, "b" * 6, "c" * 30, "", "d"])], names=["i", "t"])
+    assert [b.num_rows for b in tokens.slices(batch, 1)] == [3, 1, 2]
+    assert list(tokens.slices(batch.slice(0, 0), 1)) == []
+
+
 def expected_ids(texts, end):
     t = Tokenizer.from_file(PATH)
     t.encode_special_tokens = True

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.scratch import Scratch
-from tidewell.llm.tokens import encoder
+from tidewell.llm.tokens import encoder, slices
 
 #: A filling: its lengths with how often each occurs, largest first.
 Filling = tuple[tuple[int, int], ...]
@@ -245,7 +245,7 @@ def _cut(path: str, end_id: int, capacity: int, with_ids: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
+            for part in slices(batch, 1):
                 rows: list[tuple] = []
                 for doc_id, own in zip(part.column(0).to_pylist(), encoder(path).encode(part.column(1).to_pylist()), strict=True):
                     raw = own + end

@@ -11,17 +11,27 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_MADE: ContextVar[list["Scratch"] | None] = ContextVar("made", default=None)
+
+
+class ScratchError(RuntimeError):
+    """There is no folder that every executor can read."""
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (local tests), one that goes at exit."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset and Spark is local, one that goes at exit."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ScratchError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         os.makedirs("/tmp/checkpoints", exist_ok=True)
@@ -31,26 +41,52 @@ def shared_root(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables of one operator run, in a folder of their own below the shared root."""
+    """Tables of one operator run, in a folder of their own below the shared root.
+
+    An operator drops its tables as soon as nothing reads them; what its lazy result still reads is one table, or
+    a few, that go with clear(), or with the block of collected() that the operator ran in.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
+        if (made := _MADE.get()) is not None:
+            made.append(self)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df as Parquet and return the table read back."""
+    def keep(self, df: DataFrame, name: str, **options: str | int) -> DataFrame:
+        """Write df as Parquet, with the writer's options, and return the table read back."""
         self._n += 1
         path = f"{self.path}/{self._n:03d}-{name}"
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._scratch_path = path
         return kept
 
-    def drop(self, kept: DataFrame | None) -> None:
-        """Delete a table that nothing lazy reads any more."""
-        path = getattr(kept, "_scratch_path", None)
-        if path:
-            jvm = self.spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    def _delete(self, path: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+    def drop(self, *kept: DataFrame | None) -> None:
+        """Delete tables that nothing lazy reads any more."""
+        for df in kept:
+            if path := getattr(df, "_scratch_path", None):
+                self._delete(path)
+
+    def clear(self) -> None:
+        """Delete all tables of this run."""
+        self._delete(self.path)
+
+
+@contextmanager
+def collected() -> Iterator[None]:
+    """Whatever operators write in this block is deleted at its end: write their results in it."""
+    made: list[Scratch] = []
+    token = _MADE.set(made)
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+        for scratch in made:
+            scratch.clear()

@@ -23,17 +23,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.scratch import Scratch
-from tidewell.llm.tokens import encoder, release
+from tidewell.llm.tokens import encoder, release, slices
 
 CHUNK_BITS, RANK_BLOCK = 8, 512
 #: Ids of a shard at which it is closed; about 2 MB, and ten times that while it is packed.
 SHARD_TOKENS = 1 << 20
-#: Text that one task of the sort by id is meant to have.
-TASK_BYTES = 48 << 20
+#: Ids that one task of the sort by document is meant to have.
+TASK_TOKENS = 12 << 20
+#: Tasks of the sort whose ids are added up in one group.
+PARTS = 4096
+#: Tasks whose offsets (16 bytes each) are sent to every executor; more are joined by a shuffle.
+BROADCAST_PARTS = 1 << 21
 
 
 def pack_codes(ids: np.ndarray) -> bytes:
@@ -105,32 +109,53 @@ class Codes:
 _SHARDS = "part int, shard int, n_docs long, n_tokens long, within long, doc_ids array<long>, lengths array<long>, payload binary"
 
 
-def _write_shards(path: str, end_id: int, shard_tokens: int):
+#: Ids hardly repeat as bytes, and zstd gets out what there is; small row groups bound what a writing task holds.
+_WRITER = {"compression": "zstd", "parquet.block.size": 16 << 20}
+_ENCODED = "id long, n long, wide boolean, ids binary"
+
+
+def _encode(path: str, end_id: int):
+    """The ids of each document with end_id, in two bytes each if they fit, else wide in four."""
     end = struct.pack("<I", end_id)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                ids, wide, counts = [], [], []
+                for own in encoder(path).encode(part.column(1).to_pylist()):
+                    raw = np.frombuffer(own + end, "<u4")
+                    wide.append(bool(raw.max() >> 16))
+                    ids.append(raw.tobytes() if wide[-1] else raw.astype("<u2").tobytes())
+                    counts.append(len(raw))
+                columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(wide, pa.bool_()), pa.array(ids, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "wide", "ids"])
+
+    return run
+
+
+def _write_shards(shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        release()  # the worker may have encoded before
         part, shard, within, held, ids, lengths = TaskContext.get().partitionId(), 0, 0, [], [], []
 
         def shut() -> pa.RecordBatch:
-            total = np.frombuffer(b"".join(held), "<u4")
-            row = [[part], [shard], [len(ids)], [len(total)], [within], [ids], [lengths], [pack_codes(total)]]
+            row = [[part], [shard], [len(ids)], [size], [within], [ids], [lengths], [pack_codes(np.concatenate(held))]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             names = ["part", "shard", "n_docs", "n_tokens", "within", "doc_ids", "lengths", "payload"]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=names)
 
         size = 0
         for batch in batches:
-            for piece in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
-                for doc_id, own in zip(piece.column(0).to_pylist(), encoder(path).encode(piece.column(1).to_pylist()), strict=True):
-                    held.append(own + end)
-                    ids.append(doc_id)
-                    lengths.append(len(own) // 4 + 1)
-                    size += lengths[-1]
-                    if size >= shard_tokens:
-                        yield shut()
-                        shard, within, size, held, ids, lengths = shard + 1, within + size, 0, [], [], []
+            for doc_id, wide, own in zip(*(batch.column(c).to_pylist() for c in ("id", "wide", "ids")), strict=True):
+                held.append(np.frombuffer(own, "<u4" if wide else "<u2").astype(np.uint32))
+                ids.append(doc_id)
+                lengths.append(len(held[-1]))
+                size += lengths[-1]
+                if size >= shard_tokens:
+                    yield shut()
+                    shard, within, size, held, ids, lengths = shard + 1, within + size, 0, [], [], []
         if ids:
             yield shut()
 
@@ -145,31 +170,30 @@ def write_token_files(
     id_col: str = "doc_id",
     text_col: str = "text",
     shard_tokens: int = SHARD_TOKENS,
-    text_bytes: int | None = None,
 ) -> DataFrame:
     """Write the ids of docs below path, each document followed by end_id, and return the shard table.
 
-    Documents are in ascending order of id, nulls first; rows that repeat an id by their text. A null text is
-    empty and gives end_id only. text_bytes is the size of all texts, measured if not given: it decides
-    how many tasks sort and encode. Further columns are not read. An empty table gives no shard.
+    Documents are in ascending order of id, nulls first; rows that repeat an id by their ids. A null text is
+    empty and gives end_id only. Texts are encoded where they are read; only their ids are sorted, and rows alike
+    in all are dealt over tasks too. Further columns are not read. An empty table gives no shard.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark, "token-ids")
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    if text_bytes is None:
-        text_bytes = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    tasks = max(spark.sparkContext.defaultParallelism, text_bytes // TASK_BYTES + 1)
-    lined_up = plain.repartitionByRange(tasks, F.col("id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(
-        F.col("id").asc_nulls_first(), F.xxhash64("text"), "text"
-    )
-    lined_up.mapInArrow(_write_shards(tokenizer_path, end_id, shard_tokens), _SHARDS).write.parquet(f"{path}/shards")
-    shards = spark.read.parquet(f"{path}/shards")
-    # one number for each task of the sort, however many shards and documents it has
-    parts = {r["part"]: r["n"] for r in shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
-    starts, at = [], 0
-    for part in sorted(parts):
-        starts.append((part, at))
-        at += parts[part]
-    spark.createDataFrame(starts, "part int, part_base long").coalesce(1).write.parquet(f"{path}/parts")
+    encoded = plain.mapInArrow(_encode(tokenizer_path, end_id), _ENCODED).withColumn("print", F.xxhash64("ids")).withColumn("row", F.monotonically_increasing_id())
+    encoded = scratch.keep(encoded, "encoded", **_WRITER)
+    total = encoded.agg(F.sum("n")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, total // TASK_TOKENS + 1)
+    order = [F.col("id").asc_nulls_first(), "print", "ids", "row"]
+    lined_up = encoded.repartitionByRange(tasks, order[0], "print", "row").sortWithinPartitions(*order)
+    lined_up.select("id", "wide", "ids").mapInArrow(_write_shards(shard_tokens), _SHARDS).write.options(**_WRITER).parquet(f"{path}/shards")
+    scratch.drop(encoded)
+    # ids before each part, by sums within runs of PARTS parts and over the runs, so that no task has all parts
+    parts = spark.read.schema(_SHARDS).parquet(f"{path}/shards").groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("run", F.expr(f"part div {PARTS}"))
+    runs = parts.groupBy("run").agg(F.sum("n").alias("of_run"))
+    runs = runs.select("run", (F.sum("of_run").over(Window.orderBy("run")) - F.col("of_run")).alias("run_base"))
+    within = F.sum("n").over(Window.partitionBy("run").orderBy("part")) - F.col("n")
+    parts.withColumn("within_run", within).join(runs, "run").select("part", (F.col("run_base") + F.col("within_run")).alias("part_base")).write.parquet(f"{path}/parts")
     return read_shards(spark, path)
 
 
@@ -177,7 +201,9 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     """The shard table, with base: the number of ids in all shards before."""
     shards = spark.read.schema(_SHARDS).parquet(f"{path}/shards")
     parts = spark.read.schema("part int, part_base long").parquet(f"{path}/parts")
-    return shards.join(F.broadcast(parts), "part").withColumn("base", F.col("part_base") + F.col("within")).drop("part_base", "within")
+    if parts.count() <= BROADCAST_PARTS:
+        parts = F.broadcast(parts)
+    return shards.join(parts, "part").withColumn("base", F.col("part_base") + F.col("within")).drop("part_base", "within")
 
 
 _INDEX = "doc_id long, start long, n_tokens long, ids_crc32 long"
