@@ -129,6 +129,56 @@ def test_language_of_odd_rows(spark, odd):
     assert {r.lang_pred for r in language_id.identify(odd, language_id.train(odd.limit(0))).collect()} == {"und"}
 
 
+def test_language_against_dictionaries(docs, texts):
+    """The matrix product gives what naive Bayes with plain dictionaries gives."""
+    rows = [(r.lang, r.text) for r in docs.filter("text is not null and lang is not null").limit(60).collect()]
+
+    def buckets(text):
+        out = Counter()
+        points = [ord(c) for c in text.lower()]
+        for i in range(len(points)):
+            h = 0
+            for n, c in enumerate(points[i : i + language_id.MAX_N], 1):
+                h = (h * 0x01000193 ^ (c + n)) & 0xFFFFFFFF
+                x = h * language_id._TURN & 0xFFFFFFFF
+                out[((x ^ x >> 15) * language_id._TURN & 0xFFFFFFFF) >> 32 - language_id.BITS] += 1
+        return out
+
+    counts, many = {}, Counter(x for x, _ in rows)
+    for x, t in rows:
+        counts.setdefault(x, Counter()).update(buckets(t))
+    spark = docs.sparkSession
+    model = language_id.train(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, text string"))
+    assert model.names == sorted(many)
+    some = [t for _, t in rows[:8]] + ["Ab", "x", "  ", LONG]
+    got = model.scores(some)
+    for text, own in zip(some, got, strict=True):
+        for name, score in zip(model.names, own, strict=True):
+            total = sum(counts[name].values()) + 0.5 * (1 << language_id.BITS)
+            want = math.log(many[name] / len(rows)) + sum(n * math.log((counts[name][b] + 0.5) / total) for b, n in buckets(text).items())
+            assert math.isclose(score, want, rel_tol=1e-5)
+
+
+def test_long_texts_are_sliced_exactly(monkeypatch):
+    whole = Counter(language_id.grams(language_id._points(LONG)).tolist())
+    monkeypatch.setattr(language_id, "_SLICE", 1000)
+    assert sum((Counter(b.tolist()) for b in language_id._sliced(language_id._points(LONG))), Counter()) == whole
+
+
+def test_every_language_is_learned(spark):
+    """Three hundred languages of alphabets of their own, one with a single text, one with two thirds of all."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(300):
+        letters = [chr(0x4E00 + 20 * k + i) for i in range(20)]
+        rows += [(f"l{k:03d}", "".join(rng.choices(letters, k=30))) for _ in range(1 if k == 299 else 1000 if k == 0 else 2)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, text string")
+    model = language_id.train(df, train_docs=50)
+    assert len(model.names) == 300
+    got = language_id.identify(df, model).join(df, "doc_id").filter("lang <> lang_pred").count()
+    assert got == 0
+
+
 def sizes_of(texts):
     return {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in texts.items()}
 

@@ -2,68 +2,63 @@
 
 Texts are lower-cased and read as code points; every n-gram of 1 to MAX_N code points is hashed
 to one of 2^BITS buckets. Counts are gathered per language in the cluster, the matrix of
-log-probabilities (languages x buckets, float32) is broadcast, and a batch is scored as
-a sparse product: the rows of the matrix for the batch's distinct n-grams, added up per document.
+log-probabilities (buckets x languages, float32) is broadcast, and a batch is scored as one sparse product:
+the (texts x distinct buckets) counts of the batch, as compressed rows, times the matrix' rows for these buckets.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BITS, MAX_N = 16, 3
-#: Labelled documents that counts are taken from: all of them up to this many, else about this many by hash.
-TRAIN_DOCS = 20_000
-#: Languages, the most frequent first, that the matrix holds: 2^BITS * 4 bytes each.
-MOST_LANGUAGES = 256
+#: Labelled documents of each language that counts are taken from: all of them up to this many, else about this many by hash.
+#: The matrix has 256 KB for each language, however many there are.
+TRAIN_DOCS = 5_000
 _TURN = 0x9E3779B1
-#: Code points scored at once.
-_SLICE = 1 << 20
+#: Code points of which n-grams are made at once, and products that are held at once.
+_SLICE, _PRODUCTS = 1 << 20, 1 << 24
 
 
 def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
 
 
-def grams(points: np.ndarray, bits: int = BITS, max_n: int = MAX_N) -> np.ndarray:
-    """The buckets of all n-grams of one text, n from 1 to max_n."""
+def grams(points: np.ndarray, bits: int = BITS, max_n: int = MAX_N, starts: int | None = None) -> np.ndarray:
+    """The buckets of the n-grams of one text that begin at its first `starts` points (all if None), n from 1 to max_n."""
     out, h = [], np.zeros(len(points), np.uint32)
     for n in range(1, max_n + 1):
         if len(points) < n:
             break
         m = len(points) - n + 1
         h = (h[:m] * np.uint32(0x01000193)) ^ (points[n - 1 :] + np.uint32(n))
-        mixed = h * np.uint32(_TURN)
+        mixed = h[:starts] * np.uint32(_TURN)
         out.append((mixed ^ (mixed >> np.uint32(15))) * np.uint32(_TURN) >> np.uint32(32 - bits))
     return np.concatenate(out) if out else np.empty(0, np.uint32)
 
 
-def _sliced(points: np.ndarray) -> Iterator[np.ndarray]:
-    """A long text in slices that overlap by MAX_N - 1; the few n-grams at a seam that count twice are shorter ones."""
-    for at in range(0, max(1, len(points)), _SLICE):
-        yield points[at : at + _SLICE + MAX_N - 1]
+def _sliced(points: np.ndarray, bits: int = BITS) -> Iterator[np.ndarray]:
+    """The buckets of a text, slice by slice: each n-gram in the slice that it begins in."""
+    for at in range(0, len(points), _SLICE):
+        yield grams(points[at : at + _SLICE + MAX_N - 1], bits, starts=_SLICE)
 
 
 def _count(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
-        docs: dict[str, int] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 counts = held.setdefault(lang, np.zeros(1 << bits, np.int64))
-                docs[lang] = docs.get(lang, 0) + 1
-                for piece in _sliced(_points(text)):
-                    counts += np.bincount(grams(piece, bits), minlength=1 << bits)
+                for buckets in _sliced(_points(text), bits):
+                    counts += np.bincount(buckets, minlength=1 << bits)
         for lang, counts in held.items():
             at = np.nonzero(counts)[0]
-            names = pa.array([lang] * (len(at) + 1))
-            yield pa.RecordBatch.from_arrays(
-                [names, pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(counts[at], docs[lang]))], names=["lang", "bucket", "n"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["lang", "bucket", "n"])
 
     return run
 
@@ -74,23 +69,45 @@ class LanguageModel:
     def __init__(self, names: list[str], docs: np.ndarray, counts: np.ndarray, smoothing: float = 0.5):
         self.names = names
         self.prior = np.log(np.maximum(docs, 1) / max(1, docs.sum())) if len(names) else np.empty(0)
-        p = counts + smoothing
-        self.logp = np.ascontiguousarray(np.log(p / p.sum(1, keepdims=True)).T.astype(np.float32)) if len(names) else np.empty((0, 0), np.float32)
+        self.logp = np.empty((counts.shape[1], len(names)), np.float32)
+        for i, own in enumerate(counts):
+            p = own.astype(np.float64) + smoothing
+            self.logp[:, i] = np.log(p / p.sum())
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """Log joint probabilities (texts, languages)."""
         out = np.tile(self.prior, (len(texts), 1))
+        rows, cells, held = [], [], 0
         for i, text in enumerate(texts):
-            for piece in _sliced(_points(text)) if text else ():
-                bucket = grams(piece)
-                if len(bucket) > 4096:
-                    n = np.bincount(bucket, minlength=1 << BITS)
-                    own = np.nonzero(n)[0]
-                    out[i] += n[own].astype(np.float64) @ self.logp[own]
-                else:
-                    out[i] += self.logp[bucket].sum(0, dtype=np.float64)
+            for buckets in _sliced(_points(text)) if text else ():
+                rows.append(i)
+                cells.append(buckets)
+                held += len(buckets)
+                if held > _SLICE:
+                    self._add(out, rows, cells)
+                    rows, cells, held = [], [], 0
+        self._add(out, rows, cells)
         return out
 
+    def _add(self, out: np.ndarray, rows: list[int], cells: list[np.ndarray]) -> None:
+        """Add the product of compressed rows, given by their buckets (one for each count), with the matrix."""
+        if not rows:
+            return
+        starts = np.cumsum([0, *map(len, cells)])[:-1]
+        every = np.concatenate(cells)
+        seen = np.zeros(1 << BITS, bool)
+        seen[every] = True
+        distinct = np.flatnonzero(seen)
+        if len(rows) == 1:  # of one long text, the counts
+            np.add.at(out, rows, np.bincount(every, minlength=1 << BITS)[distinct].astype(np.float64) @ self.logp[distinct])
+            return
+        place = (np.cumsum(seen) - 1)[every]
+        width = max(1, _PRODUCTS // len(every))
+        for at in range(0, len(self.names), width):
+            own = np.ascontiguousarray(self.logp[distinct, at : at + width].T, dtype=np.float64)
+            sums = np.stack([np.add.reduceat(column[place], starts) for column in own], 1)
+            np.add.at(out, (np.array(rows)[:, None], np.arange(at, at + sums.shape[1])), sums)
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """A name and its posterior for each text; ('und', 0) without a letter or without a model."""
         if not self.names:
@@ -106,33 +123,28 @@ class LanguageModel:
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", train_docs: int = TRAIN_DOCS) -> LanguageModel:
-    """A model of the rows whose text and language are not null.
+    """A model of the rows whose text and language are not null, with every language that has such a row.
 
-    At most MOST_LANGUAGES languages are learned, the most frequent (ties: by code point).
+    Of a language with more rows than train_docs, about train_docs are drawn by the hash of key_col and text, one at
+    least; rows alike in both are drawn together. What the driver gets are counts, no more than the matrix has cells. Priors are of all rows.
     """
-    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(key_col).alias("key")).filter("lang is not null")
-    many = rows.count()
-    if many > train_docs:
-        rows = rows.filter(F.pmod("key", F.lit(1 << 30)) < int((1 << 30) * train_docs / many))
-    rows = rows.filter("text is not null")
-    counted = (
-        rows.select("lang", "text")
-        .mapInArrow(_count(BITS), "lang string, bucket int, n long")
-        .groupBy("lang", "bucket")
-        .agg(F.sum("n").alias("n"))
-    )
-    docs_of = F.max(F.when(F.col("bucket") == -1, F.col("n"))).over(Window.partitionBy("lang"))
-    counted = counted.withColumn("docs", docs_of)
-    top = [r["lang"] for r in counted.filter("bucket = -1").orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES).collect()]
-    names = sorted(top)
-    at = {name: i for i, name in enumerate(names)}
-    counts, docs = np.zeros((len(names), 1 << BITS)), np.zeros(len(names))
-    for r in counted.filter(F.col("lang").isin(names)).select("lang", "bucket", "n").toLocalIterator() if names else ():
-        if r["bucket"] < 0:
-            docs[at[r["lang"]]] = r["n"]
-        else:
-            counts[at[r["lang"]], r["bucket"]] = r["n"]
-    return LanguageModel(names, docs, counts)
+    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(key_col).alias("key"))
+    rows = rows.filter("lang is not null and text is not null")
+    drawn = F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30))
+    # the least hash of each language is drawn whatever its share
+    many = rows.groupBy("lang").agg(F.count("*").alias("docs"), F.min(drawn).alias("first"))
+    share = F.greatest(F.col("first") + 1, (F.lit(float(1 << 30)) * train_docs / F.col("docs")).cast("long"))
+    sampled = rows.withColumn("drawn", drawn).join(many.select("lang", "docs", share.alias("below")), "lang").filter("drawn < below")
+    counted = sampled.select("lang", "text").mapInArrow(_count(BITS), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    docs_of = {r["lang"]: r["docs"] for r in many.select("lang", "docs").collect()}
+    names = sorted(docs_of)
+    counts = np.zeros((len(names), 1 << BITS), np.float32 if len(names) > 64 else np.float64)
+    if names:
+        table = counted.toArrow()  # no more cells than the matrix has
+        lang = table.column("lang").combine_chunks().dictionary_encode()
+        place = np.array([bisect_left(names, x) for x in lang.dictionary.to_pylist()], np.int64)
+        counts[place[lang.indices.to_numpy()], table.column("bucket").to_numpy()] = table.column("n").to_numpy()
+    return LanguageModel(names, np.array([docs_of[x] for x in names], np.float64), counts)
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
