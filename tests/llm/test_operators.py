@@ -16,6 +16,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidewell.llm import catalog, chat_format, embedding_dedup, language_id, line_rules, mixing, near_dedup, packing, quality_model, secret_scan, token_files, tokens
@@ -196,6 +197,35 @@ def test_mix_comes_near_its_targets(spark, docs, texts):
         assert all(abs(taken[s] - t) <= 0.02 * t + 10 for s, t in target.items())
 
 
+def test_mixed_documents_keep_the_quotas(spark, docs, texts):
+    """Whole documents of a source hold its taken words but for about one document."""
+    size = sizes_of(texts)
+    taken = {r.source: r.taken for r in mixing.mix(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("taken")).collect()}
+    got, copies, longest = Counter(), Counter(), Counter()
+    of = {r.doc_id: r.source for r in docs.collect()}
+    for r in mixing.mixed_documents(docs).collect():
+        got[r.source] += size[r.doc_id]
+        copies[r.doc_id] += 1
+    for i, s in of.items():
+        longest[s] = max(longest[s], size[i])
+    assert max(copies.values()) <= 3
+    assert all(abs(got[s] - t) <= longest[s] for s, t in taken.items())
+
+
+def test_targets_against_water_filling(spark):
+    rng = random.Random(6)
+    for n in (1, 2, 7, 40):
+        z = [rng.choice([0, 1, 30, 10**6, 10**9]) * rng.randint(1, 9) for _ in range(n)]
+        df = spark.createDataFrame([(f"s{i:03d}", v) for i, v in enumerate(z)] + [(None, 5)], "source string, size long")
+        z.append(5)
+        got = [r.target for r in mixing.targets(df, (1, 2, 3), 3, Scratch(spark, "t")).orderBy("s").collect()]
+        low, high = 0.0, 1e12
+        for _ in range(300):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(min(3 * v, (i % 3 + 1) * mid) for i, v in enumerate(z)) < sum(z) else (low, mid)
+        assert all(math.isclose(g, min(3 * v, (i % 3 + 1) * high), rel_tol=1e-6, abs_tol=1e-3) for i, (g, v) in enumerate(zip(got, z, strict=True)))
+
+
 def test_sainte_lague_against_highest_quotients(spark):
     rng = random.Random(2)
     for seats in (0, 7, 100, 1003):
@@ -203,7 +233,7 @@ def test_sainte_lague_against_highest_quotients(spark):
         caps = [rng.choice([5, 60, 10**6]) for _ in votes]
         df = spark.createDataFrame([(0, i, v, seats, c) for i, (v, c) in enumerate(zip(votes, caps, strict=True))], "g int, p int, v double, seats long, cap long")
         free = df.withColumn("cap", df.cap * 0 + 10**6)
-        got = [r.quota for r in mixing.sainte_lague(free, ["g"], "p", "v", "seats", "cap", 2).orderBy("p").collect()]
+        got = [r.quota for r in mixing.sainte_lague(free, "g", "p", "v", "seats", "cap", 2, Scratch(spark, "t")).orderBy("p").collect()]
         quotients = sorted(((-v / (2 * k + 1), i) for i, v in enumerate(votes) if v for k in range(seats)))[:seats]
         assert got == [Counter(i for _, i in quotients)[i] for i in range(30)]
 

@@ -1,13 +1,16 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
 Targets: sources share the size of the corpus by weight; a target stops at max_repeats times its
-source and the excess goes to the others by weight (water filling, in closed form over sorted ratios).
+source and the excess goes to the others by weight (water filling: the level rises until no further source is full).
 
 Quotas: the mix is cut into blocks of equally many words, and Sainte-Lague gives them to
 sources one by one to the highest quotient target / (2 k + 1), k being the blocks a source has. Only the
 quotients near a source's exact share can decide, so about four for each source are ranked. A
 source's quota is given to its shards (documents dealt by a seeded hash) in the same way.
 
+Sources and quotients are ranked by ranges of a sorted table and the number of rows in the ranges before, so that neither
+all sources nor all shards of one are ever in one task.
+
 Blocks: within a shard, documents stand in seeded order on an axis of words that is cut into
 equal blocks. A quota beyond whole passes over the axis goes to the blocks with the least seeded
 hashes. A document has taken what its own words on the axis have been taken.
@@ -21,6 +24,8 @@ from pyspark.sql import functions as F
 from tidewell.llm.scratch import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Shards whose blocks one task hashes.
+SHARDS_OF_TASK = 256
 #: Words of a block: 1024, or a part of the corpus while that is small. Shards: 2^18 words, 2^20 shards at most.
 BLOCK_WORDS, LEAST_BLOCKS, SHARD_WORDS, MOST_SHARDS = 1024, 16384, 1 << 18, 1 << 20
 
@@ -31,52 +36,60 @@ def seeded(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def targets(sizes: DataFrame, cycle: tuple[int, ...], max_repeats: int) -> DataFrame:
-    """(s, source, z, target) of each source from (source, size): s counts from 0 by code point, null last."""
-    sources = sizes.groupBy("source").agg(F.sum("size").alias("z"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    named = sources.select("source", "z", (F.row_number().over(by_name) - 1).alias("s"))
-    weighed = named.withColumn("w", F.element_at(F.array(*map(F.lit, cycle)), F.col("s") % len(cycle) + 1).cast("double"))
-    cap = F.col("z") * float(max_repeats)
-    upto = Window.orderBy(F.col("z") / F.col("w"), "s").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    spread = weighed.select(
-        "*",
-        F.sum("z").over(every).cast("double").alias("all_z"),
-        F.sum("w").over(every).alias("all_w"),
-        F.coalesce(F.sum(cap).over(upto), F.lit(0.0)).alias("z_before"),
-        F.coalesce(F.sum("w").over(upto), F.lit(0.0)).alias("w_before"),
-    )
-    # in order of cap / w, those that reach their cap come first
-    capped = spread.withColumn("capped", cap * (F.col("all_w") - F.col("w_before")) <= F.col("w") * (F.col("all_z") - F.col("z_before")))
-    level = (F.col("all_z") - F.sum(F.when(F.col("capped"), cap).otherwise(0.0)).over(every)) / F.nullif(
-        F.col("all_w") - F.sum(F.when(F.col("capped"), F.col("w")).otherwise(0.0)).over(every), F.lit(0.0)
-    )
-    return capped.withColumn("level", level).select("s", "source", "z", F.when(F.col("capped"), cap).otherwise(F.col("w") * F.col("level")).alias("target"))
+def ranked(rows: DataFrame, order: list[Column], scratch: Scratch, name: str) -> DataFrame:
+    """rows with a column rank, from 1 by order, which no two rows may share. One number for each range is put in one task."""
+    ranges = scratch.keep(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), name)
+    sizes = ranges.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranges.withColumn("_own", own).join(before, "_range").withColumn("rank", F.col("_before") + F.col("_own")).drop("_range", "_own", "_before")
+
 
+def _exact(whole: Column) -> Column:
+    return whole.cast("decimal(19,0)")
 
-def sainte_lague(parties: DataFrame, group: list[str], party: str, votes: str, seats: str, cap: str, slack: int) -> DataFrame:
+
+def targets(sizes: DataFrame, cycle: tuple[int, ...], max_repeats: int, scratch: Scratch) -> DataFrame:
+    """(s, source, z, target) of each source from (source, size), written: s counts from 0 by code point, null last."""
+    sources = sizes.groupBy("source").agg(F.sum("size").alias("z"))
+    named = ranked(sources, [F.col("source").asc_nulls_last()], scratch, "named").withColumn("s", F.col("rank") - 1).drop("rank")
+    weighed = scratch.keep(named.withColumn("w", F.element_at(F.array(*map(F.lit, cycle)), (F.col("s") % len(cycle) + 1).cast("int"))), "weighed")
+    cap = F.col("z") * max_repeats
+    all_z, all_w = weighed.agg(F.sum("z"), F.sum("w")).first()
+    left_z, left_w, full = all_z or 0, all_w or 0, None
+    while True:
+        # a source is full if its cap is no more than its part of what those that are not full share
+        filled = _exact(cap) * _exact(F.lit(left_w)) <= _exact(F.col("w")) * _exact(F.lit(left_z)) if left_w else F.lit(True)
+        found = weighed.agg(F.count(F.when(filled, 1)), F.sum(F.when(filled, cap)), F.sum(F.when(filled, F.col("w")))).first()
+        if found[0] == full:
+            break
+        full, left_z, left_w = found[0], (all_z or 0) - (found[1] or 0), (all_w or 0) - (found[2] or 0)
+    level = F.lit(float(left_z) / left_w if left_w else 0.0)
+    return weighed.select("s", "source", "z", F.when(filled, cap.cast("double")).otherwise(F.col("w").cast("double") * level).alias("target"))
+
+
+def sainte_lague(parties: DataFrame, group: str, party: str, votes: str, seats: str, cap: str, slack: int, scratch: Scratch) -> DataFrame:
     """parties with a column quota: seats of each group given to its parties, none above cap.
 
     slack widens the range of quotients that are ranked, in parts of a party's fair share of one seat
     for every party; 1 is enough without caps.
     """
-    own = Window.partitionBy(*group)
-    shared = parties.select(
-        "*", F.sum(votes).over(own).cast("double").alias("_v"), F.count("*").over(own).alias("_n")
-    ).withColumn("_f", F.coalesce(F.col(votes) / F.nullif(F.col("_v"), F.lit(0.0)), F.lit(0.0)))
+    whole = parties.groupBy(group).agg(F.sum(votes).cast("double").alias("_v"), F.count("*").alias("_n"))
+    shared = parties.join(whole, group).withColumn("_f", F.coalesce(F.col(votes) / F.nullif(F.col("_v"), F.lit(0.0)), F.lit(0.0)))
     reach = slack * (1 + F.col("_n") * F.col("_f"))
     exact = F.col(seats) * F.col("_f")
     bounded = shared.withColumn("_base", F.least(F.col(cap), F.greatest(F.lit(0), F.floor(exact - reach)))).withColumn(
         "_top", F.least(F.col(cap), F.ceil(exact + reach))
     )
-    open_ = bounded.withColumn("_left", F.col(seats) - F.sum("_base").over(own))
-    tries = open_.filter("_top > _base").select("*", F.explode(F.sequence(F.col("_base"), F.col("_top") - 1)).alias("_k"))
-    order = Window.partitionBy(*group).orderBy((F.col(votes) / (2 * F.col("_k") + 1)).desc(), party, "_k")
-    won = tries.withColumn("_r", F.row_number().over(order)).filter("_r <= _left").groupBy(*group, party).agg(F.count("*").alias("_more"))
-    back = won.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate([*group, party])], "_more")
-    on = [F.col(c) == F.col(f"_g{i}") for i, c in enumerate([*group, party])]
-    return open_.join(back, on, "left").withColumn("quota", (F.col("_base") + F.coalesce("_more", F.lit(0))).cast("long")).select(*parties.columns, "quota")
+    bounded = scratch.keep(bounded, "bounded")
+    tries = bounded.filter("_top > _base").select(group, party, votes, F.explode(F.sequence(F.col("_base"), F.col("_top") - 1)).alias("_k"))
+    order = [F.col(group), (F.col(votes) / (2 * F.col("_k") + 1)).desc(), F.col(party), F.col("_k")]
+    tries = scratch.keep(ranked(tries, order, scratch, "tries"), "quotients")
+    # of each group, the best quotients that the seats are left for
+    of_group = bounded.groupBy(group).agg((F.max(seats) - F.sum("_base")).alias("_left")).join(tries.groupBy(group).agg(F.min("rank").alias("_first")), group)
+    won = tries.join(of_group, group).filter("rank < _first + _left").groupBy(group, party).agg(F.count("*").alias("_more"))
+    back = bounded.join(won, [group, party], "left")
+    return back.withColumn("quota", (F.col("_base") + F.coalesce("_more", F.lit(0))).cast("long")).select(*parties.columns, "quota")
 
 
 def mix(
@@ -103,32 +116,39 @@ def mix(
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         *[F.xxhash64(c).alias(f"hash_of_{c}") for c in keep],
+        F.col(text_col).cast("string").alias("_text"),
     )
-    sizes = scratch.keep(rows.withColumn("key", seeded(seed, F.col("doc_id"))), "sizes")
+    # rows without an id are dealt by their text
+    key = seeded(seed, F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce("_text", F.lit(""))))))
+    sizes = scratch.keep(rows.withColumn("key", key).drop("_text"), "sizes")
     total = sizes.agg(F.sum("size")).first()[0] or 0
     block = max(1, min(BLOCK_WORDS, total // LEAST_BLOCKS))
     shard = max(shard_words, total // MOST_SHARDS)
 
-    sources = targets(sizes.select("source", "size"), cycle, max_repeats).withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("z") / shard)))
+    sources = targets(sizes.select("source", "size"), cycle, max_repeats, scratch).withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("z") / shard)))
     sources = sources.withColumn("g", F.lit(0)).withColumn("seats", F.lit(total // block)).withColumn("cap", F.ceil(F.col("z") * max_repeats / block))
-    sources = scratch.keep(sainte_lague(sources, ["g"], "s", "target", "seats", "cap", 2), "sources")
+    sources = scratch.keep(sainte_lague(sources, "g", "s", "target", "seats", "cap", 2, scratch), "sources")
 
     dealt = sizes.join(sources.select("source", "s", "shards").withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).select(
         "doc_id", "size", "key", "s", F.pmod("key", "shards").alias("shard"), *[f"hash_of_{c}" for c in keep]
     )
     shards = dealt.groupBy("s", "shard").agg(F.sum("size").alias("z")).withColumn("blocks", F.greatest(F.lit(1), F.round(F.col("z") / block)).cast("long"))
-    of_source = sources.select(F.col("s").alias("_s"), F.col("z").alias("source_size"), "target", F.col("quota").alias("seats"))
-    shards = shards.join(of_source, F.col("s") == F.col("_s")).withColumn("cap", F.when(F.col("z") > 0, F.col("blocks") * max_repeats).otherwise(F.lit(0)))
-    given = sainte_lague(shards, ["s"], "shard", "z", "seats", "cap", 4)
-
-    hashes = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda i: seeded(seed, F.col("s"), F.col("shard"), i))
-    spare = F.col("quota") % F.col("blocks")
-    last = F.when(spare > 0, F.element_at(F.array_sort("hashes"), F.greatest(spare, F.lit(1)).cast("int"))).otherwise(F.lit(-1))
-    passes = given.withColumn("hashes", hashes).withColumn("last", last).select(
-        F.col("s").alias("_s"), F.col("shard").alias("_shard"), "source_size", "target", "z", "blocks",
-        F.transform("hashes", lambda h: (F.col("quota").cast("long") - spare) / F.col("blocks") + F.when(h <= F.col("last"), 1).otherwise(0)).cast("array<int>").alias("times"),
-    )
-    passes = scratch.keep(passes, "passes")
+    of_source = sources.select("s", F.col("z").alias("source_size"), "target", F.col("quota").alias("seats"))
+    shards = shards.join(of_source, "s").withColumn("cap", F.when(F.col("z") > 0, F.col("blocks") * max_repeats).otherwise(F.lit(0)))
+    given = sainte_lague(shards, "s", "shard", "z", "seats", "cap", 4, scratch)
+
+    # the cut is a column of a written table: as an expression it would be worked out for each block again
+    hashes = F.array_sort(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda i: seeded(seed, F.col("s"), F.col("shard"), i)))
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, total // (shard * SHARDS_OF_TASK) + 1)
+    spare = (F.col("quota") % F.col("blocks")).cast("int")
+    cut = F.when(spare > 0, F.element_at(hashes, F.greatest(spare, F.lit(1)))).otherwise(F.lit(-1))
+    cuts = scratch.keep(given.repartition(int(tasks), "s", "shard").withColumn("last", cut), "cuts")
+    passes = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
+        lambda i: ((F.col("quota") - F.col("quota") % F.col("blocks")) / F.col("blocks") + F.when(seeded(seed, F.col("s"), F.col("shard"), i) <= F.col("last"), 1).otherwise(0)).cast("int"),
+    )
+    spread = cuts.repartition(int(tasks), "s", "shard")
+    passes = scratch.keep(spread.select(F.col("s").alias("_s"), F.col("shard").alias("_shard"), "source_size", "target", "z", "blocks", passes.alias("times")), "passes")
 
     axis = Window.partitionBy("s", "shard").orderBy("key", "doc_id", "size", *[f"hash_of_{c}" for c in keep])
     placed = dealt.withColumn("at", F.sum("size").over(axis.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
@@ -138,30 +158,47 @@ def mix(
              sequence(((at + 1) * blocks - 1) div z, ((at + size) * blocks - 1) div z), 0L,
              (acc, i) -> acc + element_at(times, int(i + 1)) * (least(at + size, ((i + 1) * z) div blocks) - greatest(at, (i * z) div blocks))))"""
     )
-    return placed.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", taken.alias("taken"), *[f"hash_of_{c}" for c in keep])
+    taken = placed.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", taken.alias("taken"), *[f"hash_of_{c}" for c in keep])
+    return scratch.only(taken, "taken")
+
+
+#: Parts of a copy that are added up: integers, so that the sum is the same in any order.
+_COPY = 1 << 20
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
     """The rows of docs as often as the mix takes them, in whole documents; all columns as they were.
 
-    A row comes taken / size times, the fraction rounded up or down by a seeded hash, so that a source
-    keeps its share on average. Rows alike in id, source and text share evenly what they take. Rows without words go.
+    A row comes taken / size times, rounded so that the sum of these along its source's documents, in order of size, is
+    always that of the whole numbers but for a part of one. A source's words are thus within about its longest document
+    of those that the mix takes. Rows alike in id, source and text share evenly what they take. Rows without words go.
     """
+    scratch = Scratch(docs.sparkSession, "mixed")
     taken = mix(docs, id_col, text_col, source_col, seed=seed, keep=(text_col, source_col))
     row = [f"hash_of_{text_col}", f"hash_of_{source_col}"]
-    share = taken.groupBy(F.xxhash64(id_col).alias("_id"), *row).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
+    alike = taken.withColumn("_id", F.xxhash64(id_col)).groupBy("_id", *row).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"), F.count("*").alias("_many"))
+    shares = alike.filter("_taken > 0").withColumn("_share", F.expr(f"((_taken * {_COPY}L) div _size) * _many"))
+    order = [F.col(row[1]), (F.col("_size") / F.col("_many")), F.xxhash64(F.lit(seed), F.col("_id"), F.col(row[0])), F.col("_id"), F.col(row[0])]
+    ranges = scratch.keep(shares.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "shares")
+    sums = ranges.groupBy(row[1], "_range").agg(F.sum("_share").alias("_sum"))
+    before = sums.select(row[1], "_range", (F.sum("_sum").over(Window.partitionBy(row[1]).orderBy("_range")) - F.col("_sum")).alias("_before"))
+    upto = F.sum("_share").over(Window.partitionBy(row[1], "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before")
+    start = F.pmod(seeded(seed, "copies", F.col(row[1])), F.lit(_COPY))
+    summed = ranges.join(before, [row[1], "_range"]).withColumn("_upto", upto + start)
+    whole = summed.select("_id", *row, "_many", F.expr(f"_upto div {_COPY}L - (_upto - _share) div {_COPY}L").alias("_copies")).filter("_copies > 0")
+    # several rows alike: all get the whole part of the mean, and the rest of them one more by a seeded hash
     keyed = docs.select(F.struct("*").alias("_doc"), F.xxhash64(id_col).alias("_id"), F.xxhash64(text_col).alias(row[0]), F.xxhash64(source_col).alias(row[1]))
     chance = seeded(seed, "copies", F.col(f"_doc.{id_col}")) / float(1 << 60)
-    copies = F.expr("_taken div _size") + F.when(chance < F.expr("(_taken % _size) / _size"), 1).otherwise(0)
-    many = keyed.join(share.filter("_taken > 0"), ["_id", *row]).withColumn("_copies", copies.cast("int"))
-    return many.filter("_copies > 0").select("_doc", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_doc.*")
+    each = F.expr("_copies div _many") + F.when(chance < F.expr("(_copies % _many) / _many"), 1).otherwise(0)
+    many = keyed.join(whole, ["_id", *row]).withColumn("_each", each.cast("int")).filter("_each > 0")
+    return many.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_each")))).select("_doc.*")
 
 
 #: DuckDB: the same mix of documents, with every quotient ranked. Block and shard sizes as above.
 SQL = r"""
 WITH sizes AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS key
+         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))), 1, 15))::BIGINT AS key
   FROM documents),
 whole AS (SELECT sum(size)::BIGINT AS total, greatest(1, least(1024, sum(size)::BIGINT // 16384))::BIGINT AS block,
                  greatest(262144, sum(size)::BIGINT // 1048576)::BIGINT AS shard_words FROM sizes),

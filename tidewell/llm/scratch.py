@@ -54,6 +54,14 @@ class Scratch:
         if (made := _MADE.get()) is not None:
             made.append(self)
 
+    def only(self, result: DataFrame, name: str, **options: str | int) -> DataFrame:
+        """Write result, delete all other tables of this run, and return it read back."""
+        before = self.path
+        self.path = f"{self.path}-result"
+        kept = self.keep(result, name, **options)
+        self._delete(before)
+        return kept
+
     def keep(self, df: DataFrame, name: str, **options: str | int) -> DataFrame:
         """Write df as Parquet, with the writer's options, and return the table read back."""
         self._n += 1
