@@ -9,6 +9,7 @@ import string
 import struct
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -19,9 +20,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidewell.llm import catalog, chat_format, embedding_dedup, language_id, line_rules, mixing, near_dedup, packing, quality_model, secret_scan, token_files, tokens
+from tidewell.llm import catalog, chat_format, classes, embedding_dedup, language_id, line_rules, mixing, near_dedup, packing, quality_model, secret_scan, token_files, tokens
 from tidewell.llm.components import components
-from tidewell.llm.scratch import Scratch
+from tidewell.llm.scratch import Scratch, ScratchError, collected, shared_root
 from tidewell.llm.tokens import encoder
 from tidewell.llm.words import lower_word_list, shingle_set
 
@@ -97,6 +98,23 @@ def test_near_dedup_against_all_pairs(spark, texts):
         assert got == brute_components(some, words, percent)
 
 
+def test_near_dedup_in_small_blocks(spark, texts, monkeypatch):
+    """Hot classes over salts and hot shingles in blocks give what all pairs give."""
+    monkeypatch.setattr(classes, "HOT_ROWS", 3)
+    monkeypatch.setattr(near_dedup, "PAIR_BLOCK", 4)
+    rng = random.Random(9)
+    base = [f"v{rng.randrange(10**6)}" for _ in range(60)]
+    some = {i: " ".join(base[: 30 + i % 7]) for i in range(40)}
+    for i in range(40, 90):
+        own = list(base)
+        for _ in range(rng.choice([1, 2, 3, 9])):
+            own[rng.randrange(60)] = f"e{rng.randrange(10**6)}"
+        some[i] = " ".join(own)
+    df = spark.createDataFrame(list(some.items()), "doc_id long, text string")
+    rows = near_dedup.near_duplicates(df, words=3, percent=85, bands=6).collect()
+    assert {r.doc_id: r.component_id for r in rows} == brute_components(some)
+
+
 def test_near_dedup_of_odd_rows(odd):
     rows = near_dedup.near_duplicates(odd, words=3, percent=85).collect()
     assert len(rows) == len(ODD)
@@ -557,6 +575,44 @@ def test_quality_of_held_out_documents(spark):
     assert sum(labels[r.doc_id] == r.predicted for r in rows) >= 0.95 * len(rows)
 
 
+def test_quality_model_against_dense_rows():
+    """Naive Bayes support vectors on dense rows, each with its own copy of the bias feature, by the textbook's update."""
+    rng = random.Random(3)
+    rows = [np.array(sorted(rng.sample(range(40), 12) if i % 2 else rng.sample(range(25, 60), 12)), np.int32) for i in range(60)]
+    labels = np.array([i % 2 for i in range(60)])
+    seen = [[sum(j in set(r.tolist()) for r, y in zip(rows, labels, strict=True) if y == k) for j in range(60)] for k in (0, 1)]
+    ratio = [math.log((1 + seen[1][j]) / (1 + 30)) - math.log((1 + seen[0][j]) / (1 + 30)) if seen[0][j] + seen[1][j] >= quality_model.LEAST_DOCS else 0.0 for j in range(60)]
+    dense = []
+    for r in rows:
+        x = [ratio[j] if j in set(r.tolist()) else 0.0 for j in range(60)]
+        n = math.sqrt(sum(v * v for v in x)) or 1.0
+        dense.append([v / n for v in x] + [1.0])
+    w, dual, order = [0.0] * 61, [0.0] * 60, np.random.default_rng(7)
+    for _ in range(12):
+        moved = 0.0
+        for i in order.permutation(60):
+            y, x = 2 * labels[i] - 1, dense[i]
+            g = y * sum(a * b for a, b in zip(w, x, strict=True)) - 1
+            new = min(max(dual[i] - g / sum(v * v for v in x), 0.0), 1.0)
+            step, dual[i] = (new - dual[i]) * y, new
+            w = [a + step * b for a, b in zip(w, x, strict=True)]
+            moved = max(moved, abs(step))
+        if moved < 1e-3:
+            break
+    model = quality_model.fit(rows, labels)
+    for r, x in zip(rows, dense, strict=True):
+        assert math.isclose(model.margin(r), sum(a * b for a, b in zip(w, x, strict=True)), abs_tol=1e-4)
+
+
+def test_repeated_labels_count_once(spark):
+    docs = spark.createDataFrame([(i, f"good words {i} here" if i % 2 else f"bad stuff {i} there") for i in range(40)] * 3, "doc_id long, text string")
+    once = [(i, i % 2) for i in range(38)]
+    labels = spark.createDataFrame(once, "doc_id long, quality int")
+    many = spark.createDataFrame(once + [(3, 1)] * 5000 + [(38, 0), (38, 1)], "doc_id long, quality int")
+    a, b = quality_model.train(docs, labels), quality_model.train(docs, many)
+    assert (a.weight == b.weight).all() and a.bias == b.bias
+
+
 def test_quality_of_odd_rows(spark, odd):
     labels = spark.createDataFrame([(6, 1, "x"), (5, 0, "x"), (4, None, "x"), (None, 1, "x"), (8, 7, "x")], "doc_id long, quality int, text string")
     for model in (quality_model.train(odd, labels), quality_model.train(odd, labels.limit(0)), quality_model.train(odd.limit(0), labels)):
@@ -590,6 +646,51 @@ def test_shared_lines_are_cut_from_the_text(spark):
     assert {r.doc_id: (r.text, r.extra) for r in clean.collect()} == want
 
 
+def left_behind(spark):
+    return sorted(str(p) for p in Path(shared_root(spark).removeprefix("file://")).glob("*/*") if any(p.iterdir()))
+
+
+def test_operators_leave_their_result_only(spark, docs):
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
+    for run in (
+        lambda: near_dedup.near_duplicates(docs), lambda: mixing.mix(docs), lambda: embedding_dedup.near_vectors(vectors),
+        lambda: packing.pack(docs, PATH), lambda: line_rules.quality_rules(docs),
+    ):
+        before = left_behind(spark)
+        run().count()
+        assert len(left_behind(spark)) == len(before) + 1
+        with collected():
+            run().count()
+        assert len(left_behind(spark)) == len(before) + 1
+
+
+def test_scratch_needs_a_shared_folder(monkeypatch):
+    class Elsewhere:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ScratchError):
+        shared_root(Elsewhere())
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd, tmp_path):
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(6, 1, 0, "x"), (8, 1, 0, "x"), (5, 0, 0, "x"), (None, 1, 0, "x"), (4, None, 0, "x")], "doc_id long, quality int, toxic int, text string")
+    more = odd.unionByName(odd.filter("doc_id = 8").withColumn("text", F.lit("api_key = 0123456789abcdef " + "real words of a text " * 9)))
+    for name, docs in (("odd", more), ("empty", odd.limit(0))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        at = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, at, f"{tmp_path}/{name}").columns == at.columns
+        rows = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert {r.doc_id for r in rows} <= {r[0] for r in ODD} and (bool(rows) == (name == "odd"))
+
+
 def test_pipeline(spark, texts):
     import corpus_pipeline
 
