@@ -20,6 +20,8 @@ BITS, MAX_N = 16, 3
 #: Labelled documents of each language that counts are taken from: all of them up to this many, else about this many by hash.
 #: The matrix has 256 KB for each language, however many there are.
 TRAIN_DOCS = 5_000
+#: Languages whose shares are sent to every executor; those of more are joined by a shuffle.
+BROADCAST_LANGUAGES = 1 << 16
 _TURN = 0x9E3779B1
 #: Code points of which n-grams are made at once, and products that are held at once.
 _SLICE, _PRODUCTS = 1 << 20, 1 << 24
@@ -133,10 +135,14 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", k
     drawn = F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30))
     # the least hash of each language is drawn whatever its share
     many = rows.groupBy("lang").agg(F.count("*").alias("docs"), F.min(drawn).alias("first"))
-    share = F.greatest(F.col("first") + 1, (F.lit(float(1 << 30)) * train_docs / F.col("docs")).cast("long"))
-    sampled = rows.withColumn("drawn", drawn).join(many.select("lang", "docs", share.alias("below")), "lang").filter("drawn < below")
+    of_lang = many.collect()  # a row for each language, as in the model
+    docs_of = {r["lang"]: r["docs"] for r in of_lang}
+    below = [(r["lang"], max(r["first"] + 1, (train_docs << 30) // r["docs"])) for r in of_lang]
+    shares = labelled.sparkSession.createDataFrame(below, "lang string, below long")
+    if len(below) <= BROADCAST_LANGUAGES:
+        shares = F.broadcast(shares)
+    sampled = rows.withColumn("drawn", drawn).join(shares, "lang").filter("drawn < below")
     counted = sampled.select("lang", "text").mapInArrow(_count(BITS), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    docs_of = {r["lang"]: r["docs"] for r in many.select("lang", "docs").collect()}
     names = sorted(docs_of)
     counts = np.zeros((len(names), 1 << BITS), np.float32 if len(names) > 64 else np.float64)
     if names:
