@@ -104,9 +104,8 @@ def _typed(id_field: StructField, rest: str) -> StructType:
     return StructType([StructField("id", id_field.dataType), *StructType.fromDDL(rest).fields])
 
 
-def _cut_rows(docs: DataFrame, ident: Column, text_col: str, host_col: str, least_docs: int, share_percent: int, depleted_percent: int) -> DataFrame:
+def _cut_rows(scratch: Scratch, docs: DataFrame, ident: Column, text_col: str, host_col: str, least_docs: int, share_percent: int, depleted_percent: int) -> DataFrame:
     """(id, the counts, text without common lines, words_removed, base_failed, kept) of every row; id is ident."""
-    scratch = Scratch(docs.sparkSession, "quality-rules")
     plain = docs.select(ident.alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
     of_id = plain.schema["id"]
     rows = scratch.keep(plain.mapInArrow(_measure, _typed(of_id, f"host string, text string, {_MEASURES}")), "measures")
@@ -143,7 +142,7 @@ def clean_documents(
 ) -> DataFrame:
     """The documents that quality_rules keeps, with all their columns, and common lines cut from the text."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
-    rows = _cut_rows(docs, whole, text_col, host_col, least_docs, share_percent, depleted_percent).filter("kept")
+    rows = _cut_rows(Scratch(docs.sparkSession, "clean-documents"), docs, whole, text_col, host_col, least_docs, share_percent, depleted_percent).filter("kept")
     return rows.select(*[F.col("text").alias(c) if c == text_col else F.col("id")[c].alias(c) for c in docs.columns])
 
 
@@ -163,8 +162,9 @@ def quality_rules(
     null host is a host. Null or repeated ids are rows like any other. Further columns are not read.
     words_removed is counted on the text that clean_documents gives.
     """
-    rows = _cut_rows(docs, F.col(id_col), text_col, host_col, least_docs, share_percent, depleted_percent)
-    return rows.select(F.col("id").alias(id_col), *_COUNTS, "base_failed", "words_removed", "kept")
+    scratch = Scratch(docs.sparkSession, "quality-rules")
+    rows = _cut_rows(scratch, docs, F.col(id_col), text_col, host_col, least_docs, share_percent, depleted_percent)
+    return scratch.only(rows.select(F.col("id").alias(id_col), *_COUNTS, "base_failed", "words_removed", "kept"), "verdict")
 
 
 #: DuckDB: the same table of documents.

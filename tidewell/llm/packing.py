@@ -317,4 +317,4 @@ def pack(
     )
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
     out = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "") + ", sequence_id long, offset long"
-    return ranked.select(*columns, "rank").mapInArrow(_placed(Places(plan(counts, capacity))), out)
+    return scratch.only(ranked.select(*columns, "rank").mapInArrow(_placed(Places(plan(counts, capacity))), out), "placed")

@@ -99,18 +99,17 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 1.0, cost: fl
         seen[int(y), own] += 1
     p, q = alpha + seen[1], alpha + seen[0]
     ratio = np.where(seen.sum(0) >= LEAST_DOCS, np.log(p / (alpha + (labels == 1).sum())) - np.log(q / (alpha + (labels == 0).sum())), 0.0)
-    values = []
-    for own in rows:
-        v = ratio[own]
-        length = np.sqrt((v * v).sum())
-        values.append(v / length if length else v)
+    # values of a row are ratio[row] / its length; only the lengths are held
+    lengths = np.array([np.sqrt((ratio[own] ** 2).sum()) for own in rows])
+    norms = np.where(lengths > 0, 2.0, 1.0)
+    lengths = np.where(lengths > 0, lengths, 1.0)
     y, w, bias, dual = np.where(labels == 1, 1.0, -1.0), np.zeros(d), 0.0, np.zeros(len(rows))
-    norms = np.array([(v * v).sum() + 1.0 for v in values])
     order = np.random.default_rng(seed)
     for _ in range(turns):
         moved = 0.0
         for i in order.permutation(len(rows)):
-            own, v = rows[i], values[i]
+            own = rows[i]
+            v = ratio[own] / lengths[i]
             g = y[i] * (w[own] @ v + bias) - 1
             new = min(max(dual[i] - g / norms[i], 0.0), cost)
             step = (new - dual[i]) * y[i]
@@ -135,18 +134,24 @@ def train(
 ) -> QualityModel:
     """A model of the documents whose label is 0 or 1; other labels and null are passed over.
 
-    Of more than train_docs labels, about train_docs are drawn by the hash of the id, before the texts are looked up:
+    An id counts once: one with both labels is passed over, and of rows of docs that repeat an id the least text is read.
+    Of more than train_docs such ids, about train_docs are drawn by the hash of the id, before the texts are looked up:
     what is broadcast and what the driver gets is bounded by that. Null texts have no features.
     """
-    drawn = labels.select(F.col(id_col).alias("key"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1) and key is not null")
+    marked = labels.select(F.col(id_col).alias("key"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1) and key is not null")
+    drawn = marked.groupBy("key").agg(F.min("y").alias("y"), F.max("y").alias("other")).filter("y = other").select("key", "y")
     many = drawn.count()
     if many > train_docs:
         drawn = drawn.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int((1 << 30) * train_docs / many))
     texts = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(drawn), "key").select("y", "text", F.xxhash64("key").alias("key"))
+    rows = texts.join(F.broadcast(drawn), "key").groupBy("key", "y").agg(F.min("text").alias("text")).select("y", "text", F.xxhash64("key").alias("key"))
     found = rows.mapInArrow(_extract, "y int, key long, features array<int>").toArrow()
     sample = found.sort_by([("key", "ascending"), ("y", "ascending")])
-    return fit([x.values.to_numpy(zero_copy_only=False) for x in sample.column("features")], sample.column("y").to_numpy())
+    del found
+    features_, y = sample.column("features").combine_chunks(), sample.column("y").to_numpy()
+    del sample
+    at, values = features_.offsets.to_numpy(), features_.values.to_numpy()
+    return fit([values[a:b] for a, b in zip(at, at[1:], strict=False)], y)
 
 
 def _scorer(shared, id_name: str):
