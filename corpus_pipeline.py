@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import mixing, near_dedup, packing, quality_model, secret_scan
-from tidewell.llm.scratch import Scratch
+from tidewell.llm.scratch import Scratch, collected
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,6 +57,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        before, docs = docs, scratch.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with collected():  # what the stage's operator has written goes with it
+            before, docs = docs, scratch.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
         scratch.drop(before)
     return docs
