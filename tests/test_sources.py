@@ -3,10 +3,10 @@ import json
 import pytest
 from pyspark.sql import types as T
 
-from tidewell.functions import models
+from tidewell.functions import models, onnx_file
 from tidewell.operators.knn import KnnError, VectorTables, knn, rewrite
 from tidewell.plans.pipeline import Engine
-from tidewell.sources import context, docstore, iceberg, jdbc, kvstore
+from tidewell.sources import context, docstore, iceberg, iceberg_table, jdbc, kvstore
 from tidewell.sources.context import Access, ContextError, Source
 from tidewell.streaming.windows import windowed_counts
 
@@ -80,6 +80,15 @@ def test_database_reads_and_writes(spark, tmp_path):
         db.update("users", {})
     assert db.insert("users", spark.createDataFrame([(5, "z", 1.0)], "id int, name string, score double"), overwrite=True) == 1
     assert db.delete("users") == 1
+    db.execute("INSERT INTO users (name, score) VALUES ('kept', 1.0)")
+    with pytest.raises(Exception):  # noqa: B017  a name too long for its column: the old rows are still there
+        db.insert("users", spark.createDataFrame([("x" * 50, 1.0)], "name string, score double"), overwrite=True)
+    assert engine.sql("SELECT name FROM users").first().name == "kept"
+    assert engine.sql("INSERT OVERWRITE users (name, score) SELECT who, points FROM points").first()["count"] == 3 and engine.sql("SELECT * FROM users").count() == 3
+
+
+def test_markers_and_casts():
+    assert jdbc.positional("UPDATE t SET a = :a::int WHERE b = ':b' AND c = :c", {"a": 1, "c": 2}) == ("UPDATE t SET a = ?::int WHERE b = ':b' AND c = ?", [1, 2])
 
 
 def test_documents(spark, tmp_path):
@@ -112,6 +121,44 @@ def test_hashes(spark, tmp_path):
         kvstore.infer(store, "nothing", "id")
 
 
+def test_hashes_by_insert(spark, tmp_path):
+    df = spark.range(20).repartition(4)
+    assert kvstore.write(df, str(tmp_path), "n") == 20 and len(kvstore.FolderHashes(str(tmp_path)).scan("n:")) == 20
+    source = Source("n", "redis", connection_string=str(tmp_path), options={"table": "n", "key_column": "k"}, access_mode=Access.READ_WRITE)
+    engine = Engine(spark, [source])
+    assert engine.sql("INSERT INTO n (k, id) VALUES ('a', '1')").first()["count"] == 1
+    assert engine.sql("SELECT id FROM n WHERE k = 'a'").first().id == "1"
+    with pytest.raises(docstore.DocumentError):
+        engine.sql("DELETE FROM n WHERE k = 'a'")
+
+
+def test_stores_named_in_sql(spark, tmp_path):
+    env = {"AWS_ACCESS_KEY_ID": "k", "AWS_SECRET_ACCESS_KEY": "s", "AWS_REGION": "r", "AZURE_STORAGE_ACCOUNT_NAME": "acc", "AZURE_STORAGE_ACCOUNT_KEY": "z"}
+    assert context.url_settings("s3://b/x", env) == {"fs.s3a.access.key": "k", "fs.s3a.secret.key": "s", "fs.s3a.endpoint.region": "r"}
+    assert context.url_settings("az://c/x", env) == {"fs.azure.account.key.acc.dfs.core.windows.net": "z"} and context.url_settings("gs://b/x", env) == {}
+    context.check_reachable(spark, f"file://{tmp_path}")
+    with pytest.raises(ContextError):
+        context.check_reachable(spark, f"file://{tmp_path}/none")
+
+
+def test_json_and_lance_by_path(spark, tmp_path):
+    (tmp_path / "x.ndjson").write_text('{"a": 1, "b": "x"}\n{"a": 2}\n')
+    engine = Engine(spark, [Source("told", "ndjson", path=f"{tmp_path}/x.ndjson")])
+    assert [tuple(r) for r in engine.sql("SELECT a, b FROM told ORDER BY a").collect()] == [(1, "x"), (2, None)]
+    spark.sql("SELECT 1 AS id, array(1.0F, 2.0F) AS v").write.parquet(f"{tmp_path}/near.lance")
+    assert engine.sql(f"SELECT id FROM '{tmp_path}/near.lance'").first().id == 1
+    assert engine.sql("SELECT id FROM knn('near', 'v', [1.0, 2.0], 1)").first().id == 1
+
+
+def test_iceberg_table(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", 1.5), (2, None, 2.5), (3, "c", None)], "id long, old string, x double")
+    iceberg_table.write(df.repartition(2), f"{tmp_path}/ns/t", renamed={"old": "new"}, version=101)
+    source = Source("t", "iceberg", path=str(tmp_path), options={"namespace": "ns", "table": "t"})
+    got = Engine(spark, [source]).sql("SELECT id, new, x FROM t ORDER BY id").collect()
+    assert [tuple(r) for r in got] == [(1, "a", 1.5), (2, None, 2.5), (3, "c", None)]
+    assert iceberg.metadata_file(f"{tmp_path}/ns/t").endswith("v101.metadata.json")
+
+
 def test_iceberg_metadata(tmp_path):
     folder = tmp_path / "metadata"
     folder.mkdir()
@@ -142,43 +189,20 @@ def test_knn(spark):
             rewrite(spark, f"SELECT * FROM {bad}", tables)
 
 
-def _varint(n: int) -> bytes:
-    out = b""
-    while n > 127:
-        out, n = out + bytes([n & 127 | 128]), n >> 7
-    return out + bytes([n])
-
-
-def _field(number: int, value) -> bytes:
-    if isinstance(value, int):
-        return _varint(number << 3) + _varint(value)
-    value = value.encode() if isinstance(value, str) else value
-    return _varint(number << 3 | 2) + _varint(len(value)) + value
-
-
-def _tensor(name: str, kind: int, dims: list) -> bytes:
-    shape = b"".join(_field(1, _field(2, d) if isinstance(d, str) else _field(1, d)) for d in dims)
-    return _field(1, name) + _field(2, _field(1, _field(1, kind) + _field(2, shape)))
-
-
-def _model(path, nodes: list[bytes], inputs: list[bytes], output: bytes) -> str:
-    graph = b"".join(_field(1, n) for n in nodes) + _field(2, "g") + b"".join(_field(11, i) for i in inputs) + _field(12, output)
-    path.write_bytes(_field(1, 8) + _field(8, _field(1, "") + _field(2, 13)) + _field(7, graph))
-    return str(path)
-
-
 def test_models(spark, tmp_path):
     models.register_linear(spark, "twice", 2.0, 1.0)
     assert [r.y for r in spark.sql("SELECT twice(x) AS y FROM VALUES (0.0F), (1.5F), (2.0F) AS t(x)").collect()] == [1.0, 4.0, 5.0]
-    add = _field(1, "a") + _field(1, "b") + _field(2, "s") + _field(4, "Add")
-    cast = _field(1, "s") + _field(2, "y") + _field(4, "Cast") + _field(5, _field(1, "to") + _field(3, 1) + _field(20, 2))
-    whole = _model(tmp_path / "sum.onnx", [add, cast], [_tensor("a", 7, ["n", 1]), _tensor("b", 7, ["n", 1])], _tensor("y", 1, ["n", 1]))
-    same = _model(tmp_path / "same.onnx", [_field(1, "x") + _field(2, "y") + _field(4, "Identity")], [_tensor("x", 1, [1, "t", "f"])], _tensor("y", 1, [1, "t", "f"]))
+    (tmp_path / "sum.onnx").write_bytes(onnx_file.sum_of_two())
+    (tmp_path / "same.onnx").write_bytes(onnx_file.identity())
+    whole, same = f"{tmp_path}/sum.onnx", f"{tmp_path}/same.onnx"
     models.register_onnx(spark)
     got = spark.sql(f"SELECT onnx_predict('{whole}', a, b) AS y FROM VALUES (1, 2), (3, 4), (NULL, 1) AS t(a, b)").collect()
     assert sorted((r.y for r in got), key=str) == [3.0, 7.0, None]
     lists = spark.sql(f"SELECT onnx_predict_list('{same}', array(1.0, 2.0), array(3.0, 4.0)) AS y").first()
     assert lists.y == [1.0, 3.0, 2.0, 4.0]
+    # by the type of the argument, whatever its name
+    typed = Engine(spark).sql(f"SELECT onnx_predict('{same}', xs, ys) AS y FROM (SELECT array(1.0, 2.0) AS xs, array(3.0, 4.0) AS ys)").first()
+    assert typed.y == [1.0, 3.0, 2.0, 4.0]
 
 
 def test_windows_in_batch_and_stream(spark, tmp_path):

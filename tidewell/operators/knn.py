@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.functions.dialect import calls
+from tidewell.functions.dialect import array_literals, calls
 
 METRICS = ("l2", "cosine", "dot")
 
@@ -85,30 +85,49 @@ def _text(argument: str, what: str) -> str:
     return m[1].replace("''", "'")
 
 
+_SUMS = {
+    "l2": "aggregate(zip_with({v}, {q}, (a, b) -> (a - b) * (a - b)), 0D, (s, x) -> s + x)",
+    "dot": "1 - aggregate(zip_with({v}, {q}, (a, b) -> a * b), 0D, (s, x) -> s + x)",
+    "cosine": "1 - aggregate(zip_with({v}, {q}, (a, b) -> a * b), 0D, (s, x) -> s + x) / nullif("
+    "sqrt(aggregate({v}, 0D, (s, x) -> s + x * x)) * sqrt(aggregate({q}, 0D, (s, x) -> s + x * x)), 0D)",
+}
+
+
+def _derived(columns: list[str], table: str, column: str, vector: str, k: str, where: str | None, metric: str) -> str:
+    """The call as a derived table: the table's columns without the vector, and _distance."""
+    others = [f"`{c}`" for c in columns if c != column]
+    distance_ = _SUMS[metric].format(v="v_", q="q_")
+    near = f"SELECT {', '.join(others)}, CAST(`{column}` AS ARRAY<DOUBLE>) AS v_ FROM `{table}`" + (f" WHERE ({where})" if where else "")
+    scored = f"SELECT {', '.join(others)}, {distance_} AS d_ FROM ({near}) CROSS JOIN ({vector}) WHERE size(v_) = size(q_)"
+    return f"(SELECT {', '.join(others)}, CAST(d_ AS FLOAT) AS _distance FROM ({scored}) WHERE d_ IS NOT NULL ORDER BY d_, {others[0]} LIMIT {k})"
+
+
 def rewrite(spark: SparkSession, sql: str, tables: VectorTables, names: tuple[str, ...] = ("knn", "vector_knn", "lance_knn")) -> str:
-    """Calls knn('table', 'column', vector, k [, 'filter']) in sql as views of knn() results.
+    """Calls knn('table', 'column', vector, k [, 'filter']) in sql as derived tables, for Catalyst to resolve and bind.
 
-    vector is an array literal or a scalar subquery in parentheses, evaluated when the query runs.
+    vector is an array literal or a scalar subquery in parentheses, which may name the query's parameters and common table
+    expressions; k is an integer literal or a parameter.
     """
-    for start, end, args in reversed(calls(sql, names)):
+    for start, end, args in calls(sql, names):
         if not 4 <= len(args) <= 5:
             raise KnnError("knn takes 4 or 5 arguments")
         table, column = _text(args[0], "the table"), _text(args[1], "the column")
         if table not in tables.metrics:
             raise KnnError(f"{table!r} is not a vector table")
-        if not re.fullmatch(r"\d+", args[3]):
-            raise KnnError("k must be an integer literal")
+        k = re.fullmatch(r"(?i)\d+|:\w+|CAST\((:\w+) AS \w+\)", args[3])
+        if not k:
+            raise KnnError("k must be an integer literal or a parameter")
         where = _text(args[4], "the filter") if len(args) == 5 else None
-        vector = args[2]
-        subquery = re.fullmatch(r"(?is)\(\s*((?:select|with)\b.*)\)", vector)
+        columns = spark.table(table).columns
+        if column not in columns:
+            raise KnnError(f"{table!r} has no column {column!r}")
+        subquery = re.fullmatch(r"(?is)\(\s*((?:select|with)\b.*)\)", args[2])
         if subquery:
-            query: DataFrame | list[float] = spark.sql(subquery[1])
+            vector = f"SELECT CAST(q_ AS ARRAY<DOUBLE>) AS q_ FROM ({subquery[1]}) AS t_(q_) WHERE q_ IS NOT NULL LIMIT 1"
         else:
-            row = spark.sql(f"SELECT {vector} AS q").first()
-            if not isinstance(row["q"], list) or not all(isinstance(x, (int, float)) or hasattr(x, "as_tuple") for x in row["q"]):
+            row = spark.sql(f"SELECT {array_literals(args[2])} AS q").first()
+            if not isinstance(row["q"], list) or not row["q"] or not all(isinstance(x, (int, float)) or hasattr(x, "as_tuple") for x in row["q"]):
                 raise KnnError("the vector must be an array of numbers")
-            query = [float(x) for x in row["q"]]
-        view = f"knn_{abs(hash((table, column, vector, args[3], where))):x}"
-        knn(spark.table(table), column, query, int(args[3]), where, tables.metrics[table]).createOrReplaceTempView(view)
-        sql = f"{sql[:start]}{view}{sql[end:]}"
+            vector = f"SELECT CAST({args[2]} AS ARRAY<DOUBLE>) AS q_"
+        sql = sql[:start] + _derived(columns, table, column, vector, k[1] or k[0], where, tables.metrics[table]) + sql[end:]
     return sql

@@ -1,11 +1,18 @@
-"""What a pipeline's SQL may do: no DDL, and writes only to tables that are declared read_write."""
+"""What a pipeline's SQL may do: queries, and writes to tables that are declared read_write.
+
+Statements are judged by the nodes of the plan that Spark's parser makes of them: all but queries, statements that only show
+something, and INSERT, UPDATE and DELETE are refused, so that what is not known is not allowed.
+"""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import SparkSession
 
+from tidewell.functions.dialect import translate
 from tidewell.plans.text import PLACEHOLDER, parts, statements
 
 
@@ -13,13 +20,13 @@ class GuardError(ValueError):
     """A statement that is not allowed, or cannot be read."""
 
 
-_DDL = re.compile(
-    r"(?is)^\s*(create\s+(or\s+replace\s+)?(temp(orary)?\s+|global\s+|external\s+|unique\s+|materialized\s+)*"
-    r"(table|index|view|schema|database|function|procedure|sequence|type)|drop\s+\w+|alter\s+(table|index|view)|truncate)\b"
-)
 _EMPTY_CLAUSE = re.compile(r"(?i)\b(select\s+(from|where)|from\s+(where|group\s+by|order\s+by)|(where|from|join)\s*$)\b")
 _NAME = r"((?:[\w$]+|\"[^\"]+\"|`[^`]+`)(?:\.(?:[\w$]+|\"[^\"]+\"|`[^`]+`))*)"
 _WRITE = re.compile(rf"(?is)^\s*(?:(insert)\s+(?:into|overwrite)\s+(?:table\s+)?|(update)\s+|(delete)\s+from\s+|(copy)\s+){_NAME}")
+_WRITES = {"InsertIntoStatement": "INSERT", "UpdateTable": "UPDATE", "DeleteFromTable": "DELETE"}
+_SHOWS = re.compile(r"(Show|Describe|Explain)\w*")
+#: Nodes that act but are no commands to Spark.
+_ACTS = re.compile(r"(Insert|Replace|Overwrite|Append|Write)\w*")
 
 
 def target(statement: str) -> tuple[str, str] | None:
@@ -33,31 +40,49 @@ def target(statement: str) -> tuple[str, str] | None:
     return verb, m[5].split(".")[-1].strip('"`').lower()
 
 
+def _nodes(plan: JavaObject) -> Iterator[JavaObject]:
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        yield node
+        for below in (node.children(), node.innerChildren()):
+            it = below.iterator()
+            while it.hasNext():
+                todo.append(it.next())
+
+
+def _table(node: JavaObject) -> str:
+    relation = node.table()
+    while relation.getClass().getSimpleName() == "SubqueryAlias":
+        relation = relation.child()
+    names = relation.multipartIdentifier()
+    return names.apply(names.size() - 1).lower()
+
+
 def check(spark: SparkSession, sql: str, access: dict[str, str]) -> None:
     """Raise GuardError unless every statement of sql is allowed. access: table -> read_only or read_write.
 
-    Tables that are not declared may be written. COPY is a write. Empty SQL is allowed.
+    Tables that are not declared may be written. COPY writes files and is refused. Empty SQL is allowed.
     """
     modes = {k.lower(): v for k, v in access.items()}
+    session = spark._jsparkSession.sessionState()
+    command = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command", True, spark._jvm.Thread.currentThread().getContextClassLoader())
     for statement in statements(sql):
         plain = "".join(t for k, t in parts(statement) if k != "comment")
-        if _DDL.match(plain):
-            raise GuardError(f"DDL is not allowed: {' '.join(plain.split()[:3])}")
-        write = target(statement)
-        if write and modes.get(write[1], "read_write") == "read_only":
-            raise GuardError(f"{write[0].upper()} into read_only table {write[1]!r}")
+        if not plain.strip():
+            continue
         if _EMPTY_CLAUSE.search("".join(t for k, t in parts(plain) if k == "code")):
             raise GuardError("cannot be parsed: a clause is empty")  # Spark takes these keywords as names
-        probe = PLACEHOLDER.sub("'p'", plain)
-        probe = re.sub(r"(?i)\b(limit|offset)\s+'p'", r"\1 1", probe)
-        if write and write[0] == "copy":
-            continue
+        probe = re.sub(r"(?i)\b(limit|offset)\s+'p'", r"\1 1", PLACEHOLDER.sub("'p'", plain))
         try:
-            spark._jsparkSession.sessionState().sqlParser().parsePlan(_plain_quotes(probe))
+            plan = session.sqlParser().parsePlan(translate(probe))
         except Exception as e:
             raise GuardError(f"cannot be parsed: {str(e).splitlines()[0]}") from e
-
-
-def _plain_quotes(sql: str) -> str:
-    """Double-quoted names in backticks, which Spark reads as names under any setting."""
-    return "".join("`" + t[1:-1].replace('""', '"').replace("`", "``") + "`" if k == "name" and t[0] == '"' else t for k, t in parts(sql))
+        for node in _nodes(plan):
+            name = node.getClass().getSimpleName()
+            if name in _WRITES:
+                table = _table(node)
+                if modes.get(table, "read_write") == "read_only":
+                    raise GuardError(f"{_WRITES[name]} into read_only table {table!r}")
+            elif (command.isInstance(node) and not _SHOWS.fullmatch(name)) or _ACTS.fullmatch(name) or name.endswith("Statement"):
+                raise GuardError(f"not allowed: {' '.join(plain.split()[:3])}")

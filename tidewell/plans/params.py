@@ -87,6 +87,8 @@ def _tables(spark: SparkSession, sql: str) -> list[str]:
 
 def infer(spark: SparkSession, sql: str) -> list[Parameter]:
     """Each parameter with its column and type: of the column, else bigint for limits, double beside a number, string."""
+    if not names(sql):
+        return []
     compared, kinds = columns(sql), {}
     for table in _tables(spark, sql):
         try:

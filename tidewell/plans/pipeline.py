@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import time
+import uuid
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from pathlib import Path
@@ -13,12 +14,13 @@ import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tidewell.functions.dialect import path_tables, translate
+from tidewell.functions.dialect import path_tables, remote_urls, translate
 from tidewell.functions.models import register_onnx
 from tidewell.operators.knn import VectorTables, rewrite
 from tidewell.plans import guard, params
+from tidewell.plans.analysis import typed
 from tidewell.plans.text import parts
-from tidewell.sources import context, docstore, jdbc
+from tidewell.sources import context, docstore, jdbc, kvstore
 
 
 class PipelineError(ValueError):
@@ -91,7 +93,11 @@ def load_all(path: str) -> list[Pipeline]:
     return found
 
 
-_INSERT = re.compile(r"(?is)^\s*insert\s+into\s+(?:table\s+)?([\w.`\"]+)\s*(\([^()]*\))?\s*(.*)$")
+_INSERT = re.compile(r"(?is)^\s*insert\s+(into|overwrite)\s+(?:table\s+)?([\w.`\"]+)\s*(\([^()]*\))?\s*(.*)$")
+_COPY = re.compile(r"(?is)^\s*copy\s+(.+?)\s+to\s+'([^']+)'\s*(?:stored\s+as\s+(\w+)|\(\s*format\s+'?(\w+)'?\s*\))?\s*;?\s*$")
+_CREATED = re.compile(r"(?is)^\s*create\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?(?:table|view)\s+([\w\"`]+)\s+as\s+(.*)$")
+_EXTERNAL = re.compile(r"(?is)^\s*create\s+external\s+table\s+([\w\"`]+)\s+stored\s+as\s+(\w+)(.*?)\blocation\s+'([^']+)'(.*)$")
+_OPTION = re.compile(r"(?i)'?([\w.]+)'?\s+'?([^',()]+)'?")
 
 
 class Engine:
@@ -103,61 +109,81 @@ class Engine:
         self.access = context.register(spark, self.sources, self.vectors)
         register_onnx(spark)
 
-    def _with_paths(self, sql: str) -> str:
-        for i, (literal, path) in enumerate(path_tables(sql)):
-            view = f"path_{abs(hash(path)):x}_{i}"
+    def _with_paths(self, sql: str) -> tuple[str, list[str]]:
+        """sql with its quoted paths as views, and these views, which go once the query has been analysed."""
+        context.settings_of_urls(self.spark, remote_urls(sql))
+        views = []
+        for start, end, path in reversed(path_tables(sql)):
             df = context.read_path(self.spark, path)
-            df.createOrReplaceTempView(view)
+            views.append(f"path_{uuid.uuid4().hex}")
+            df.createOrReplaceTempView(views[-1])
             if path.rstrip("/").endswith(".lance"):
                 stem = Path(path.rstrip("/")).stem
                 df.createOrReplaceTempView(stem)
                 self.vectors.register(stem)
-            sql = sql.replace(literal, view, 1)
-        return sql
-
-    def _model_lists(self, sql: str) -> str:
-        """onnx_predict over arrays is the function that returns lists."""
-        return re.sub(r"(?i)\bonnx_predict\s*\((?=[^()]*(?:\([^()]*\)[^()]*)*\b(?:array_agg|collect_list|transform)\s*\()", "onnx_predict_list(", sql)
+            sql = sql[:start] + views[-1] + sql[end:]
+        return sql, views
 
     def sql(self, sql: str, values: dict | None = None, types: dict[str, T.DataType] | None = None) -> DataFrame:
-        """A query or a write. values binds {name} parameters; a write returns one row, count."""
+        """A query, a write or a definition. values binds {name} parameters; a write returns one row, count."""
         values = values or {}
         if types is None:
             types = {p.name: p.type for p in params.infer(self.spark, sql)}
+        plain = "".join(t for k, t in parts(sql) if k != "comment")
+        if m := _COPY.match(plain):
+            query = m[1].strip()
+            rows = self.sql(query[1:-1] if query.startswith("(") else f"SELECT * FROM {query}", values, types)
+            return self._count(context.write_file(rows, m[2], m[3] or m[4]))
+        if m := _EXTERNAL.match(plain):
+            options = {k.split(".")[-1].lower(): v for k, v in _OPTION.findall(re.sub(r"(?i)\boptions\b|with\s+header\s+row", "", m[3] + m[5]))}
+            context.read_path(self.spark, m[4], m[2], options).createOrReplaceTempView(m[1].strip('"`'))
+            return self._count(0)
+        if m := _CREATED.match(plain):
+            rows = self.sql(m[2], values, types).cache()
+            rows.createOrReplaceTempView(m[1].strip('"`'))
+            return self._count(rows.count())
         write = guard.target(sql)
         if write and write[0] in ("insert", "update", "delete") and self._source(write[1]):
             return self._write(sql, *write, values, types)
-        text = params.marked(sql, types, values)
-        for name in params.names(sql):  # in a knn call, where Spark cannot bind
-            if name in values and isinstance(values[name], int):
-                text = re.sub(rf"(?i)((?:knn|vector_knn|lance_knn)\s*\([^;]*?,\s*)CAST\(:{name} AS \w+\)(?=\s*[,)])", rf"\g<1>{values[name]}", text)
-        text = rewrite(self.spark, translate(self._model_lists(self._with_paths(text))), self.vectors)
-        used = {k: v for k, v in values.items() if f":{k}" in text}
-        return self.spark.sql(text, args=used)
+        text, views = self._with_paths(params.marked(sql, types, values))
+        try:
+            text = translate(rewrite(self.spark, text, self.vectors))
+            return typed(self.spark, text, {k: v for k, v in values.items() if f":{k}" in text})
+        finally:
+            for view in views:
+                self.spark.catalog.dropTempView(view)
+
+    def _count(self, n: int) -> DataFrame:
+        return self.spark.createDataFrame([(n,)], "count long")
 
     def _source(self, name: str) -> context.Source | None:
-        return next((s for s in self.sources if s.name.lower() == name and s.type in context.DATABASES), None)
+        return next((s for s in self.sources if s.name.lower() == name and s.type in context.WRITABLE), None)
 
     def _write(self, sql: str, verb: str, name: str, values: dict, types: dict) -> DataFrame:
         source = self._source(name)
         if verb == "insert":
             m = _INSERT.match("".join(t for k, t in parts(sql) if k != "comment"))
-            rows = self.sql(m[3], values, {**types})
-            columns = [c.strip().strip('"`') for c in m[2][1:-1].split(",")] if m[2] else None
+            overwrite = m[1].lower() == "overwrite"
+            rows = self.sql(m[4], values, {**types})
+            columns = [c.strip().strip('"`') for c in m[3][1:-1].split(",")] if m[3] else None
             if columns:
                 rows = rows.toDF(*columns)
+            o = source.options
             if source.type == "mongo":
-                o = source.options
+                if overwrite:
+                    raise docstore.DocumentError("INSERT OVERWRITE is not supported for document collections")
                 count = docstore.upsert(rows, source.connection_string, o.get("collection") or o["table"], o["primary_key"])
+            elif source.type == "redis":
+                count = kvstore.write(rows, source.connection_string, o["table"], o.get("key_column"), o.get("key_space"), overwrite)
             else:
-                count = self._database(source).insert(jdbc.table_of(source.options, source.type), rows)
-        elif source.type == "mongo":
-            raise docstore.DocumentError(f"{verb.upper()} is not supported for document collections; insert replaces by key")
+                count = self._database(source).insert(jdbc.table_of(o, source.type), rows, overwrite)
+        elif source.type in ("mongo", "redis"):
+            raise docstore.DocumentError(f"{verb.upper()} is not supported for documents and hashes; insert replaces by key")
         else:
             text, bound = jdbc.positional(params.marked(sql), values)
             text = re.sub(rf"(?is)^(\s*(?:update|delete\s+from)\s+)[\w.`\"]+", lambda m: m[1] + jdbc.table_of(source.options, source.type), text)
             count = self._database(source).execute(text, bound)
-        return self.spark.createDataFrame([(count,)], "count long")
+        return self._count(count)
 
     def _database(self, source: context.Source) -> jdbc.Database:
         url, props = jdbc.jdbc_url(source.type, source.connection_string, source.options)

@@ -8,7 +8,8 @@ from enum import StrEnum
 from pathlib import Path
 
 import yaml
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.functions.dialect import hadoop_path
@@ -165,20 +166,73 @@ def read(spark: SparkSession, s: Source) -> DataFrame:
     return jdbc.read(spark, s.type, s.connection_string, s.options)
 
 
-def read_path(spark: SparkSession, path: str) -> DataFrame:
-    """A file named in SQL, by its extension. A directory of Parquet can end in .lance."""
-    plain = path.split("?")[0].rstrip("/").lower()
-    if plain.endswith((".csv", ".tsv")):
-        return read_csv(spark, path, {"delimiter": "\t"} if plain.endswith(".tsv") else {})
-    if plain.endswith((".json", ".ndjson", ".jsonl")):
+def read_path(spark: SparkSession, path: str, kind: str | None = None, options: dict[str, str] | None = None) -> DataFrame:
+    """A file named in SQL, by its kind or extension. A directory of Parquet can end in .lance."""
+    plain, options = path.split("?")[0].rstrip("/").lower(), options or {}
+    kind = (kind or "").lower() or next((k for k, ends in _EXTENSIONS.items() if plain.endswith(ends)), "parquet" if ".lance/" in path else "")
+    if kind in ("csv", "tsv"):
+        return read_csv(spark, path, ({"delimiter": "\t"} if kind == "tsv" else {}) | options)
+    if kind in ("json", "ndjson"):
         return spark.read.json(hadoop_path(path))
-    if plain.endswith(".avro"):
-        return spark.read.format("avro").load(hadoop_path(path))
-    if plain.endswith((".parquet", ".lance")) or ".lance/" in path:
-        return spark.read.parquet(hadoop_path(path))
+    if kind in ("avro", "parquet"):
+        return spark.read.format(kind).load(hadoop_path(path))
     raise ContextError(f"cannot tell the format of {path}")
 
 
+_EXTENSIONS = {"csv": ".csv", "tsv": ".tsv", "json": (".json", ".ndjson", ".jsonl"), "avro": ".avro", "parquet": (".parquet", ".lance")}
+
+
+def write_file(df: DataFrame, path: str, kind: str | None = None) -> int:
+    """Write df as a folder of files in the format, or that of the path's extension; the number of rows. What is there is an error."""
+    kind = (kind or "").lower() or next((k for k, ends in _EXTENSIONS.items() if path.lower().rstrip("/").endswith(ends)), "parquet")
+    written = Observation()
+    writer = df.observe(written, F.count(F.lit(1)).alias("n")).write.mode("errorifexists")
+    at = hadoop_path(path)
+    if kind in ("csv", "tsv"):
+        writer.options(header=True, sep="\t" if kind == "tsv" else ",").csv(at)
+    elif kind in ("json", "ndjson", "parquet", "avro"):
+        writer.format({"ndjson": "json"}.get(kind, kind)).save(at)
+    else:
+        raise ContextError(f"cannot write the format {kind!r}")
+    return written.get["n"]
+
+
+def url_settings(url: str, env: dict[str, str]) -> dict[str, str]:
+    """Settings of the file system of a URL in SQL, from the usual variables of the environment; none if they are unset."""
+    scheme, account = url.partition("://")[0], env.get("AZURE_STORAGE_ACCOUNT_NAME")
+    if scheme == "s3":
+        names = {"AWS_ACCESS_KEY_ID": "access.key", "AWS_SECRET_ACCESS_KEY": "secret.key", "AWS_SESSION_TOKEN": "session.token", "AWS_ENDPOINT_URL": "endpoint", "AWS_REGION": "endpoint.region", "AWS_DEFAULT_REGION": "endpoint.region"}
+        return {f"fs.s3a.{v}": env[k] for k, v in reversed(names.items()) if env.get(k)}
+    if scheme in ("gs", "gcs") and env.get("GOOGLE_APPLICATION_CREDENTIALS"):
+        return {"fs.gs.auth.type": "SERVICE_ACCOUNT_JSON_KEYFILE", "fs.gs.auth.service.account.json.keyfile": env["GOOGLE_APPLICATION_CREDENTIALS"]}
+    if scheme in ("az", "azure", "abfs", "abfss") and account and env.get("AZURE_STORAGE_ACCOUNT_KEY"):
+        return {f"fs.azure.account.key.{account}.dfs.core.windows.net": env["AZURE_STORAGE_ACCOUNT_KEY"]}
+    if scheme in ("oss", "cos"):
+        names = {"ACCESS_KEY_ID": "accessKeyId", "ACCESS_KEY_SECRET": "accessKeySecret", "ENDPOINT": "endpoint"}
+        begin = {"oss": ("OSS_", "fs.oss."), "cos": ("COS_", "fs.cosn.userinfo.")}[scheme]
+        return {begin[1] + v: env[begin[0] + k] for k, v in names.items() if env.get(begin[0] + k)}
+    return {}
+
+
+def settings_of_urls(spark: SparkSession, urls: list[str]) -> None:
+    """Give Hadoop what the environment has for the stores that a text names."""
+    for url in urls:
+        for k, v in url_settings(url, dict(os.environ)).items():
+            spark.sparkContext._jsc.hadoopConfiguration().set(k, v)
+
+
+def check_reachable(spark: SparkSession, path: str) -> None:
+    """Raise ContextError unless the file system of a remote path answers that the path is there."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(hadoop_path(path))
+    try:
+        there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    except Exception as e:
+        raise ContextError(f"cannot reach {path}: {str(e).splitlines()[0]}") from e
+    if not there:
+        raise ContextError(f"nothing at {path}")
+
+
 def register(spark: SparkSession, sources: list[Source], vectors: VectorTables | None = None) -> dict[str, str]:
     """Register every source as a view of its name; table -> access mode. Vector tables become searchable."""
     check(sources)
@@ -187,6 +241,7 @@ def register(spark: SparkSession, sources: list[Source], vectors: VectorTables |
             hadoop = spark.sparkContext._jsc.hadoopConfiguration()
             for k, v in check_s3(s).items():
                 hadoop.set(k, v)
+            check_reachable(spark, s.path)
         df = read(spark, s)
         if s.enable_cache and s.type in ("csv", "parquet", "iceberg"):
             df = df.cache()

@@ -11,14 +11,14 @@ import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 class IcebergError(ValueError):
     """A table whose metadata cannot be resolved or read."""
 
 
-#: Versions that are looked for when there is no readable hint.
-MOST_VERSIONS = 100
+_VERSION = re.compile(r"v(\d+)\.metadata\.json")
 _SEQUENCED = re.compile(r"(\d+)-([0-9a-fA-F-]{36})\.metadata\.json")
 
 
@@ -35,10 +35,9 @@ def metadata_file(table: str) -> str:
         path = os.path.join(folder, f"v{int(text) if text.isdigit() else 1}.metadata.json")
         if os.path.exists(path):
             return path
-    for n in range(MOST_VERSIONS, 0, -1):
-        path = os.path.join(folder, f"v{n}.metadata.json")
-        if os.path.exists(path):
-            return path
+    versions = [(int(m[1]), name) for name in os.listdir(folder) if (m := _VERSION.fullmatch(name))]
+    if versions:
+        return os.path.join(folder, max(versions)[1])
     found = [(int(m[1]), name) for name in os.listdir(folder) if (m := _SEQUENCED.fullmatch(name))]
     if not found:
         raise IcebergError(f"no metadata file in {folder}")
@@ -77,6 +76,31 @@ def data_files(spark: SparkSession, metadata: dict, snapshot_id: int | None = No
     return files
 
 
+_KINDS = {"boolean": "boolean", "int": "int", "long": "bigint", "float": "float", "double": "double", "date": "date", "string": "string", "uuid": "string",
+          "binary": "binary", "timestamp": "timestamp_ntz", "timestamptz": "timestamp"}
+
+
+def _kind(of: str | dict) -> T.DataType:
+    if isinstance(of, str):
+        return T.BinaryType() if of.startswith("fixed") else T.DataType.fromDDL(_KINDS.get(of, of.replace(" ", "")))
+    if of["type"] == "list":
+        return T.ArrayType(_kind(of["element"]))
+    if of["type"] == "map":
+        return T.MapType(_kind(of["key"]), _kind(of["value"]))
+    return _fields(of["fields"])
+
+
+def _fields(fields: list[dict]) -> T.StructType:
+    return T.StructType([T.StructField(f["name"], _kind(f["type"]), True, {"parquet.field.id": f["id"]}) for f in fields])
+
+
+def schema_of(metadata: dict) -> T.StructType:
+    """The current schema; data files are matched by field ids, so that renamed and added columns are right."""
+    if "schemas" in metadata:
+        return _fields(next(s for s in metadata["schemas"] if s["schema-id"] == metadata.get("current-schema-id", 0))["fields"])
+    return _fields(metadata["schema"]["fields"])
+
+
 def read(spark: SparkSession, warehouse: str, options: dict[str, str]) -> DataFrame:
     path = table_path(warehouse, options)
     snapshot = int(options["snapshot_id"]) if "snapshot_id" in options else None
@@ -88,6 +112,7 @@ def read(spark: SparkSession, warehouse: str, options: dict[str, str]) -> DataFr
         files = data_files(spark, metadata, snapshot)
         if not files:
             raise IcebergError(f"{path} has no snapshot to read") from None
-        return spark.read.parquet(*files)
+        spark.conf.set("spark.sql.parquet.fieldId.read.enabled", "true")
+        return spark.read.schema(schema_of(metadata)).parquet(*files)
     reader = spark.read.format("iceberg")
     return (reader.option("snapshot-id", snapshot) if snapshot is not None else reader).load(path)

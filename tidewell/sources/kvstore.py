@@ -107,6 +107,9 @@ def read(spark: SparkSession, connection: str, options: dict[str, str]) -> DataF
     return spark.read.format("hashes").options(root=connection, **{k: o[k] for k in ("table", "key_column", "key_space") if k in o}).load()
 
 
+_IDS = uuid.UUID("6f1b7d0e-5d0a-4c59-9f0e-0f3f6f1f2a10")
+
+
 def text_of(value) -> str:
     """A value as stored: null is empty, binary is lower-case hex, truth values are lower case."""
     if value is None:
@@ -117,7 +120,12 @@ def text_of(value) -> str:
 
 
 def write(df: DataFrame, root: str, table: str, key_column: str | None = None, key_space: str | None = None, overwrite: bool = False) -> int:
-    """One hash for each row; the key column names it and is not a field, without one it is a new UUID. Overwrite deletes first."""
+    """One hash for each row; the key column names it and is not a field, without one it is a UUID. Overwrite deletes first.
+
+    UUIDs are of the run, the partition and the place in it, so that a task that runs again writes its rows once.
+    """
+    if not key_column:
+        df = df.withColumn("__row", F.concat(F.lit(str(uuid.uuid4())), F.lit(":"), F.monotonically_increasing_id()))
     if overwrite:
         store = FolderHashes(root)
         store.delete(store.scan(prefix(table, key_space)))
@@ -128,7 +136,7 @@ def write(df: DataFrame, root: str, table: str, key_column: str | None = None, k
         store, n = FolderHashes(root), 0
         for batch in batches:
             for row in batch.to_pylist():
-                id_ = text_of(row[key_column]) if key_column else str(uuid.uuid4())
+                id_ = text_of(row[key_column]) if key_column else str(uuid.uuid5(_IDS, row.pop("__row")))
                 store.put(prefix(table, key_space) + id_, {k: text_of(v) for k, v in row.items() if k != key_column})
                 n += 1
         yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
