@@ -444,6 +444,39 @@ def test_plans_take_lengths_less_often_than_they_fit():
     assert packing.lower_bound(counts, 2048) == 6 == sum(t for _, t in packing.plan(counts, 2048))
 
 
+def brute_fillings(counts, room, most_gap):
+    """All undominated ways, as sets of (length, times) with their gaps, from all ways."""
+    lengths = sorted(n for n, c in counts.items() if c and n <= room)
+
+    def ways(i, left):
+        if i < 0:
+            yield ()
+            return
+        for m in range(min(counts[lengths[i]], left // lengths[i]) + 1):
+            for rest in ways(i - 1, left - m * lengths[i]):
+                yield (((lengths[i], m), *rest) if m else rest)
+
+    out = set()
+    for way in ways(len(lengths) - 1, room):
+        use = Counter(dict(way))
+        gap = room - sum(n * m for n, m in way)
+        rest = [n for n in lengths if counts[n] > use[n]]
+        pieces = sorted(use.elements())
+        pairs = {a + b for i, a in enumerate(pieces) for b in pieces[i + 1 :]}
+        swaps = any(n < r <= n + gap for n in use for r in rest) or any(p <= r <= p + gap for p in pairs for r in rest)
+        if gap <= most_gap and not any(r <= gap for r in rest) and not swaps:
+            out.add((gap, way))
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.integers(1, 14), st.integers(1, 4), max_size=6), st.integers(0, 24), st.integers(0, 24))
+def test_fillings_against_all_ways(counts, room, most_gap):
+    got = list(packing.fillings(counts, room, most_gap, iter(range(10**6))))
+    assert len(got) == len(set(got)) and got == sorted(got, key=lambda g: g[0])
+    assert set(got) == brute_fillings(counts, room, most_gap)
+
+
 def fewest_sequences(pieces, capacity):
     """By all ways to put each piece, the largest first, into a sequence or a new one."""
     now = {()}

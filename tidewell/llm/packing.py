@@ -155,42 +155,52 @@ def _completions(counts: dict[int, int], capacity: int, incumbent: int) -> list[
     left, remaining, made, nodes = dict(counts), sum(counts.values()), [], 0
     lengths, look = sorted(counts, reverse=True), iter(range(LOOKED))
 
-    def choices(waste: int, before: tuple[int, int, Filling] | None) -> Iterator[tuple[Filling, int, int, tuple]]:
-        """The fillings around the largest length left, after the one before if it was around the same, with times and waste."""
+    def following(waste: int, before: tuple[int, int, Filling] | None, last: tuple | None) -> tuple[Filling, int, int, tuple] | None:
+        """The next (filling, times, waste, which) around the largest length left: once less of the last, or the next one.
+
+        The first comes after the one before, if that was around the same length. What has been tried is known by the
+        last alone, so that a deep search holds no more than its path.
+        """
+        if last and last[1] > 1:
+            filling, times, wasted, which = last
+            return filling, times - 1, wasted - which[1], which
         top = next(n for n in lengths if left[n])
         own = {n: c for n, c in left.items() if c}
         own[top] -= 1
-        after = before[1:] if before and before[0] == top else None
-        for gap, way in fillings(own, capacity - top, allowed - waste, look, after):
-            use = dict(way)
-            use[top] = use.get(top, 0) + 1
-            times = min(left[n] // c for n, c in use.items())
-            if gap:
-                times = min(times, (allowed - waste) // gap)
-            filling = tuple(sorted(use.items(), reverse=True))
-            for t in range(times, 0, -1):
-                yield filling, t, waste + t * gap, (top, gap, way)
-
-    stack = [choices(0, None)]
-    while stack and nodes < NODES:
+        after = last[3][1:] if last else before[1:] if before and before[0] == top else None
+        step = next(fillings(own, capacity - top, allowed - waste, look, after), None)
+        if step is None:
+            return None
+        gap, way = step
+        use = dict(way)
+        use[top] = use.get(top, 0) + 1
+        times = min(left[n] // c for n, c in use.items())
+        if gap:
+            times = min(times, (allowed - waste) // gap)
+        return tuple(sorted(use.items(), reverse=True)), times, waste + times * gap, (top, gap, way)
+
+    path: list[tuple[int, tuple | None, tuple | None]] = [(0, None, None)]
+    while path and nodes < NODES:
         nodes += 1
-        step = next(stack[-1], None)
+        waste, before, last = path[-1]
+        step = following(waste, before, last)
         if step is None:
-            stack.pop()
+            path.pop()
             if made:
                 filling, times = made.pop()
                 for n, c in filling:
                     left[n] += c * times
                     remaining += c * times
             continue
-        filling, times, waste, which = step
+        path[-1] = (waste, before, step)
+        filling, times, wasted, which = step
         for n, c in filling:
             left[n] -= c * times
             remaining -= c * times
         made.append((filling, times))
         if not remaining:
             return made
-        stack.append(choices(waste, which))
+        path.append((wasted, which, None))
     return None
 
 

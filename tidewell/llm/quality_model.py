@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.words import lower_word_list, mix, window_hashes, word_hashes
+from tidewell.llm.words import lower_word_list, mix, spare_memory, window_hashes, word_hashes
 
 BITS, SHAPE_N, REPEAT_N, LEAST_DOCS = 18, 5, 4, 5
 #: Labelled documents the model is fitted on: all up to this many, else about this many by hash.
@@ -124,6 +124,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 1.0, cost: fl
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spare_memory()
     for batch in batches:
         rows = [features(t) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.int32()))], names=["y", "key", "features"])
@@ -151,11 +152,15 @@ def train(
     features_, y = sample.column("features").combine_chunks(), sample.column("y").to_numpy()
     del sample
     at, values = features_.offsets.to_numpy(), features_.values.to_numpy()
-    return fit([values[a:b] for a, b in zip(at, at[1:], strict=False)], y)
+    model = fit([values[a:b] for a, b in zip(at, at[1:], strict=False)], y)
+    del features_, at, values
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def _scorer(shared, id_name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spare_memory()
         for batch in batches:
             scores = [shared.value.score(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=[id_name, "score"])
@@ -179,6 +184,7 @@ def accepted(docs: DataFrame, model: QualityModel, text_col: str = "text") -> Da
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spare_memory()
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             yield batch.filter(pa.array([shared.value.score(t) >= 0.5 for t in texts], pa.bool_()))

@@ -10,6 +10,8 @@ the ids of each are found again by the number of bytes that every id stands for.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import json
 import os
 import re
@@ -204,5 +206,8 @@ def encoder(path: str) -> Encoder:
 
 def release() -> None:
     """Forget the encoders of this worker, with all that they remember."""
-    _OPEN.clear()
-    pa.default_memory_pool().release_unused()
+    if _OPEN:
+        _OPEN.clear()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+            ctypes.CDLL(None).malloc_trim(0)

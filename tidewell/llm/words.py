@@ -7,6 +7,8 @@ and nothing else.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import xxhash
 
@@ -24,6 +26,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _SHIFT)
 
 
+def spare_memory() -> None:
+    """Let go of the encoders that an earlier stage may have left in this worker."""
+    if tokens := sys.modules.get("tidewell.llm.tokens"):
+        tokens.release()
+
+
 def word_list(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
