@@ -24,10 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.llm.classes import of_class
 from tidewell.llm.components import components
 from tidewell.llm.scratch import Scratch
-from tidewell.llm.words import mix, shingle_set
+from tidewell.llm.words import mix, shingle_set, spare_memory
 
+#: Members that share a shingle are paired in blocks of about so many.
+PAIR_BLOCK = 512
 #: 40 bands of 6 bins miss a pair of similarity 0.85 once in 10^8, one of 0.8 once in 3 * 10^5.
 BANDS, ROWS = 40, 6
 
@@ -88,6 +91,7 @@ def _sketch(words: int, percent: int, sketcher: Sketcher):
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("fa", pa.int64()), ("fb", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spare_memory()
         for batch in batches:
             for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
                 sets = [shingle_set(t, words) for t in part.column(1).to_pylist()]
@@ -112,6 +116,7 @@ def _sketch(words: int, percent: int, sketcher: Sketcher):
 
 def _full_sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spare_memory()
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 sets = [shingle_set(t, words).view(np.int64) for t in part.column(1).to_pylist()]
@@ -120,6 +125,12 @@ def _full_sets(words: int):
     return run
 
 
+def _sized(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The distinct (a, b), a the greater, of pairs (a, n, b) whose sizes let them reach the similarity. Only ids are moved."""
+    near = pairs.join(sizes, "b").filter(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    return near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b), those whose full sets reach the similarity."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
@@ -140,12 +151,27 @@ def _prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     tokens = members.join(sets, "id").select("id", "label", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("token"))
     common = tokens.groupBy("token").agg(F.count("*").alias("f"), F.min("label").alias("x"), F.max("label").alias("y")).filter("f > 1")
     own = Window.partitionBy("id")
-    ranked = tokens.join(common, "token").select(
+    ranked = of_class(tokens, common.withColumn("shared", F.col("f")), ["token"], "f", ["id"]).filter("shared is not null").withColumnRenamed("shared", "f").select(
         "*", (F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("f", "token"))).alias("place")
     )
     return ranked.filter(f"x < y and place <= n - ({percent}L * n + 99) div 100 + 1").select("token", "id", "label", "n", "place")
 
 
+def _sharing(prefix: DataFrame, percent: int) -> DataFrame:
+    """The distinct (a, b) of rows with other labels that share a token and can reach the similarity by its places.
+
+    A token's rows are dealt over blocks, and each pair of blocks is a group of its own, however many rows have the token.
+    """
+    blocks = prefix.groupBy("token").agg(F.count("*").alias("m")).withColumn("blocks", F.ceil(F.col("m") / PAIR_BLOCK).cast("int"))
+    dealt = of_class(prefix, blocks.filter("m > 1"), ["token"], "m", ["id"]).filter("blocks is not null").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "label", "n", "place")
+    x, y = dealt.alias("x"), dealt.alias("y")
+    close = f"{100 + percent} * (1 + least(x.n - x.place, y.n - y.place)) >= {percent} * (x.n + y.n)"
+    near = x.join(y, F.expr(f"x.token = y.token and x.i = y.i and x.j = y.j and (x.i = x.j or x.block <> y.block) and x.label < y.label and {close}"))
+    return near.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -171,10 +197,10 @@ def near_duplicates(
         "sketches",
     )
     named = sketches.filter("id is not null and fa is not null")
-    classes = named.groupBy("fa", "fb").agg(F.min("id").alias("rep"))
+    classes = scratch.keep(named.groupBy("fa", "fb").agg(F.min("id").alias("rep"), F.count("*").alias("m")), "classes")
 
-    first = named.join(classes.withColumnRenamed("rep", "id"), ["fa", "fb", "id"], "left_semi")
-    members = first.select(F.col("id").alias("rep"), F.explode("bands").alias("band"))
+    first = named.join(classes.select("fa", "fb", F.col("rep").alias("id")), ["fa", "fb", "id"], "left_semi")
+    members = first.select(F.col("id").alias("rep"), "n", F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(F.min("rep").alias("centre"), F.max("rep").alias("other")).filter("centre < other")
     shared = scratch.keep(members.join(buckets.select("band", "centre"), "band"), "buckets")
 
@@ -182,15 +208,17 @@ def near_duplicates(
     sets = scratch.keep(
         plain.join(wanted, "id", "left_semi").mapInArrow(_full_sets(words), "id long, shingles array<long>"), "sets"
     )
-    pairs = shared.filter("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
-    tried = scratch.keep(pairs, "tried")
+    sizes = scratch.keep(shared.select(F.col("rep").alias("b"), F.col("n").alias("m")).distinct(), "sizes")
+    pairs = shared.filter("rep <> centre").select(F.col("rep").alias("a"), "n", F.col("centre").alias("b")).distinct()
+    tried = scratch.keep(_sized(pairs, sizes, percent), "tried")
     links = scratch.keep(_confirmed(tried, sets, percent), "confirmed")
     found = components(links, scratch)
+    scratch.drop(links)
 
     turn, gained = 0, True
     while True:
         label = found.select(F.col("id").alias("rep"), "component_id")
-        marked = shared.select("band", "rep").join(label, "rep", "left").select("band", "rep", F.coalesce("component_id", "rep").alias("label"))
+        marked = shared.select("band", "rep", "n").join(label, "rep", "left").select("band", "rep", "n", F.coalesce("component_id", "rep").alias("label"))
         of = marked.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.xxhash64("rep", F.lit(turn), "band")).alias("pick"))
         left = scratch.keep(marked.join(of.filter("x < y").select("band", "pick"), "band"), "open")
         ids = left.select(F.col("rep").alias("id"), "label").distinct()
@@ -199,39 +227,34 @@ def near_duplicates(
             break
         every = 2 * linked < many or not gained
         if every:
-            prefix = scratch.keep(_prefixes(ids, sets, percent), "prefixes")
-            x, y = prefix.alias("x"), prefix.alias("y")
-            close = f"{100 + percent} * (1 + least(x.n - x.place, y.n - y.place)) >= {percent} * (x.n + y.n)"
-            near = x.join(y, F.expr(f"x.token = y.token and x.label < y.label and {close}"))
-            new = near.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"))
+            new = _sharing(scratch.keep(_prefixes(ids, sets, percent), "prefixes"), percent)
         else:
-            centre = left.filter(F.xxhash64("rep", F.lit(turn), "band") == F.col("pick")).select("band", F.col("rep").alias("c"), F.col("label").alias("l"))
-            near = left.join(centre, "band").filter("label <> l")
-            new = near.select(F.greatest("rep", "c").alias("a"), F.least("rep", "c").alias("b"))
-        new = scratch.keep(new.distinct().join(tried, ["a", "b"], "left_anti"), "new")
+            centre = left.filter(F.xxhash64("rep", F.lit(turn), "band") == F.col("pick")).select("band", F.col("rep").alias("b"), F.col("label").alias("l"))
+            new = _sized(left.join(centre, "band").filter("label <> l").select(F.col("rep").alias("a"), "n", "b").distinct(), sizes, percent)
+        new = scratch.keep(new.join(tried, ["a", "b"], "left_anti"), "new")
         more = scratch.keep(_confirmed(new, sets, percent), "confirmed")
         gained = not more.isEmpty()
         if gained:
-            links = links.union(more)
-            found = components(links, scratch)
+            # what is known already is as many links as there are linked ids
+            known = found
+            found = components(known.select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(more), scratch)
+            scratch.drop(known)
+        scratch.drop(left, more)
         if every:
             break
         tried = tried.union(new)
         turn += 1
 
-    of_class = classes.join(found.select(F.col("id").alias("rep"), "component_id"), "rep", "left").select(
-        "fa", "fb", F.coalesce("component_id", "rep").alias("component_id")
+    labelled = classes.join(found.select(F.col("id").alias("rep"), "component_id"), "rep", "left").select(
+        "fa", "fb", "m", F.coalesce("component_id", "rep").alias("component_id")
     )
-    return (
-        sketches.select("id", "n", "fa", "fb")
-        .join(of_class, ["fa", "fb"], "left")
-        .select(
-            F.col("id").alias(id_col),
-            F.col("n").alias("n_shingles"),
-            F.coalesce("component_id", "id").alias("component_id"),
-            F.coalesce(F.col("id") == F.coalesce("component_id", "id"), F.lit(True)).alias("kept"),
-        )
+    verdict = of_class(sketches.select("id", "n", "fa", "fb"), labelled, ["fa", "fb"], "m", ["id", "n"]).select(
+        F.col("id").alias(id_col),
+        F.col("n").alias("n_shingles"),
+        F.coalesce("component_id", "id").alias("component_id"),
+        F.coalesce(F.col("id") == F.coalesce("component_id", "id"), F.lit(True)).alias("kept"),
     )
+    return scratch.only(verdict, "verdict")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
