@@ -24,6 +24,7 @@ _COMPARED = re.compile(
 _COMPARES = re.compile(rf"(?is)\{{(\w+)\}}\s*(?:=|!=|<>|<=|>=|<|>)\s*{_OPERAND}")
 _IN_LIST = re.compile(rf"(?is){_OPERAND}\s+(?:not\s+)?in\s*\(([^()]*)\)")
 _NUMBER_NEAR = re.compile(r"(?is)\{(\w+)\}\s*(?:=|<|>|<=|>=|!=|<>)\s*-?\d|-?\d+(?:\.\d+)?\s*(?:=|<|>|<=|>=|!=|<>)\s*\{(\w+)\}")
+_VALUES = re.compile(r"(?is)^\s*insert\s+into\s+[^()]+\(([^()]*)\)\s*values\s*(.*)$")
 _KEYWORDS = {"and", "or", "not", "where", "on", "having", "when", "then", "else", "null", "select", "set", "values", "in", "like", "between", "is"}
 
 
@@ -68,6 +69,12 @@ def columns(sql: str) -> dict[str, str]:
 
     for m in _LIMIT.finditer(code):
         found.setdefault(m[2], m[1].lower())
+    if m := _VALUES.search(code):
+        targets = [c.strip() for c in m[1].split(",")]
+        for row in re.findall(r"\(([^()]*)\)", m[2]):
+            for target, value in zip(targets, row.split(","), strict=False):
+                if p := PLACEHOLDER.fullmatch(value.strip()):
+                    note(p[1], target)
     for m in _COMPARED.finditer(code):
         note(m[2], m[1])
     for m in _COMPARES.finditer(code):
@@ -89,18 +96,22 @@ def infer(spark: SparkSession, sql: str) -> list[Parameter]:
     """Each parameter with its column and type: of the column, else bigint for limits, double beside a number, string."""
     if not names(sql):
         return []
-    compared, kinds = columns(sql), {}
+    compared, kinds, named = columns(sql), {}, {}
+    words = set(re.findall(r"\w+", sql.lower()))
     for table in _tables(spark, sql):
         try:
             for f in spark.table(table).schema:
                 kinds.setdefault(f.name, f.dataType)
+                if table.lower() in words:
+                    named.setdefault(f.name, f.dataType)
         except AnalysisException:
             continue
     numeric = {n for m in _NUMBER_NEAR.finditer(sql) for n in m.groups() if n}
     out = []
     for name in names(sql):
         column = compared.get(name)
-        hinted = column if column is not None else by_affix(name) if by_affix(name) in kinds else None
+        # a name alone says something about the query's own tables only
+        hinted = column if column is not None else by_affix(name) if by_affix(name) in (named or kinds) else None
         if column in ("limit", "offset") or (hinted is None and name in ("limit", "offset", "count")):
             kind: T.DataType = T.LongType()
         elif hinted in kinds:
