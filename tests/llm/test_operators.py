@@ -680,7 +680,7 @@ def test_shared_lines_are_cut_from_the_text(spark):
 
 
 def left_behind(spark):
-    return sorted(str(p) for p in Path(shared_root(spark).removeprefix("file://")).glob("*/*") if any(p.iterdir()))
+    return sorted(str(p) for p in Path(shared_root(spark).removeprefix("file://")).glob("*/*") if p.is_dir() and any(p.iterdir()))
 
 
 def test_operators_leave_their_result_only(spark, docs):
