@@ -13,6 +13,7 @@ from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
+from tidewell.functions.dialect import calls
 from tidewell.plans.text import PLACEHOLDER, in_code, parts
 
 _LIMIT = re.compile(r"(?i)\b(limit|offset)\s+\{([a-zA-Z_]\w*)\}")
@@ -24,6 +25,8 @@ _COMPARED = re.compile(
 _COMPARES = re.compile(rf"(?is)\{{(\w+)\}}\s*(?:=|!=|<>|<=|>=|<|>)\s*{_OPERAND}")
 _IN_LIST = re.compile(rf"(?is){_OPERAND}\s+(?:not\s+)?in\s*\(([^()]*)\)")
 _NUMBER_NEAR = re.compile(r"(?is)\{(\w+)\}\s*(?:=|<|>|<=|>=|!=|<>)\s*-?\d|-?\d+(?:\.\d+)?\s*(?:=|<|>|<=|>=|!=|<>)\s*\{(\w+)\}")
+#: The table functions that search vectors, and what their number of neighbours counts as being compared with.
+KNN, NEIGHBOURS = ("knn", "vector_knn", "lance_knn"), "number of neighbours"
 _VALUES = re.compile(r"(?is)^\s*insert\s+into\s+[^()]+\(([^()]*)\)\s*values\s*(.*)$")
 _KEYWORDS = {"and", "or", "not", "where", "on", "having", "when", "then", "else", "null", "select", "set", "values", "in", "like", "between", "is"}
 
@@ -58,7 +61,7 @@ def by_affix(name: str) -> str:
 
 
 def columns(sql: str) -> dict[str, str]:
-    """Parameter -> the column it is compared with, or limit / offset."""
+    """Parameter -> the column it is compared with, or limit, offset or NEIGHBOURS."""
     code = "".join("''" if kind == "literal" else "" if kind == "comment" else text for kind, text in parts(sql))
     found: dict[str, str] = {}
 
@@ -69,6 +72,9 @@ def columns(sql: str) -> dict[str, str]:
 
     for m in _LIMIT.finditer(code):
         found.setdefault(m[2], m[1].lower())
+    for _, _, args in calls(code, KNN):
+        if len(args) > 3 and (p := PLACEHOLDER.fullmatch(args[3])):
+            found.setdefault(p[1], NEIGHBOURS)
     if m := _VALUES.search(code):
         targets = [c.strip() for c in m[1].split(",")]
         for row in re.findall(r"\(([^()]*)\)", m[2]):
@@ -112,7 +118,7 @@ def infer(spark: SparkSession, sql: str) -> list[Parameter]:
         column = compared.get(name)
         # a name alone says something about the query's own tables only
         hinted = column if column is not None else by_affix(name) if by_affix(name) in (named or kinds) else None
-        if column in ("limit", "offset") or (hinted is None and name in ("limit", "offset", "count")):
+        if column in ("limit", "offset", NEIGHBOURS) or (hinted is None and name in ("limit", "offset", "count")):
             kind: T.DataType = T.LongType()
         elif hinted in kinds:
             kind = _widened(kinds[hinted])

@@ -199,7 +199,7 @@ class Engine:
         if write:
             pipeline.response = T.StructType([T.StructField("count", T.LongType(), False)])
         else:
-            nothing = {p.name: 1 if p.column is None and p.name == "k" else None for p in pipeline.request}
+            nothing = {p.name: 1 if p.column == params.NEIGHBOURS else None for p in pipeline.request}
             pipeline.response = self.sql(pipeline.query, nothing, {p.name: p.type for p in pipeline.request}).schema
         return pipeline
 
