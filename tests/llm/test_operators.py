@@ -668,6 +668,17 @@ def test_shared_lines_deplete(spark):
     assert all((not got[i].kept and got[i].words_removed == 200) if i < 20 else got[i].kept for i in got)
 
 
+def test_the_limit_of_shared_lines_is_that_of_any_host(spark):
+    def text(i):
+        return " ".join(f"u{i}x{j}" for j in range(6)) + (f"\n{eleven}" if i < 11 else f"\n{ten}" if i < 21 else " " + " ".join(f"v{i}y{j}" for j in range(24)))
+
+    eleven, ten = (" ".join(f"{c}{j}" for j in range(60)) for c in "ab")
+    df = spark.createDataFrame([(i, "hot", text(i)) for i in range(4000)], "doc_id long, source string, text string")
+    copies = spark.createDataFrame([(5000 + i, "hot", text(11)) for i in range(30)], df.schema)
+    got = {r.doc_id: r for r in line_rules.quality_rules(df.unionByName(copies)).collect()}
+    assert len(got) == 4030 and all((r.words_removed, r.kept) == ((60, False) if i < 11 else (0, True)) for i, r in got.items())
+
+
 def test_shared_lines_are_cut_from_the_text(spark):
     own = [" ".join(f"u{i}x{j}" for j in range(30)) for i in range(40)]
     rows = [(i, "h", own[i] + "\n\n  Common LINE of\tmany \n" + "end" + str(i) if i < 20 else own[i], i / 2) for i in range(40)]

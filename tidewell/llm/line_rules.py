@@ -1,9 +1,9 @@
 """Quality rules: counts within a document, and lines that many documents of a host share.
 
 A line's normal form is its words, A-Z lower-cased, joined by one space. Per host, the distinct documents
-(texts, so that exact copies count once) of each normal line are counted. Lines in more than
-max(least_docs, share * documents of the host) of them are removed, and a document that loses more
-than `depleted` percent of its words is rejected.
+(texts, so that exact copies count once) of each normal line are counted. Lines in more than most_docs of
+them are removed, whatever the size of the host, and a document that loses more than `depleted` percent
+of its words is rejected.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql.types import StructField, StructType
 from tidewell.llm.scratch import Scratch
 from tidewell.llm.words import window_hashes, word_hashes, word_list
 
-LEAST_DOCS, SHARE_PERCENT, DEPLETED_PERCENT = 10, 1, 80
+MOST_DOCS, DEPLETED_PERCENT = 10, 80
 LEAST_WORDS, MOST_REPEATED_PERCENT, WINDOW = 20, 30, 8
 _SYMBOLS, _WHITE = "#*$%&|<>", " \t\n\x0b\x0c\r"
 
@@ -104,7 +104,7 @@ def _typed(id_field: StructField, rest: str) -> StructType:
     return StructType([StructField("id", id_field.dataType), *StructType.fromDDL(rest).fields])
 
 
-def _cut_rows(scratch: Scratch, docs: DataFrame, ident: Column, text_col: str, host_col: str, least_docs: int, share_percent: int, depleted_percent: int) -> DataFrame:
+def _cut_rows(scratch: Scratch, docs: DataFrame, ident: Column, text_col: str, host_col: str, most_docs: int, depleted_percent: int) -> DataFrame:
     """(id, the counts, text without common lines, words_removed, base_failed, kept) of every row; id is ident."""
     plain = docs.select(ident.alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
     of_id = plain.schema["id"]
@@ -113,18 +113,16 @@ def _cut_rows(scratch: Scratch, docs: DataFrame, ident: Column, text_col: str, h
     # one row for each distinct text of a host, so that copies neither count twice nor are looked up twice
     texts = rows.filter("fa is not null").groupBy("host", "fa", "fb").agg(F.max("lines").alias("lines"))
     texts = scratch.keep(texts.select(F.coalesce(F.xxhash64("host"), F.lit(0)).alias("h"), F.col("host").isNull().alias("no_host"), "fa", "fb", "lines"), "texts")
-    host = ["h", "no_host"]
-    hosts = texts.groupBy(*host).agg(F.count("*").alias("of_host"))
-    pairs = texts.select(*host, F.explode("lines").alias("line"))
-    counts = pairs.groupBy(*host, "line").agg(F.count("*").alias("docs")).filter(F.col("docs") > least_docs)
-    common = counts.join(hosts, host).filter(F.expr(f"100 * docs > {share_percent} * of_host"))
-    # written, so that its size is known: where it is small no text is shuffled
-    common = scratch.keep(common.groupBy(*host).agg(F.collect_list("line").alias("of_host_lines")), "common")
-
-    keyed = rows.select(
-        "id", *_COUNTS, "text", "lines", F.coalesce(F.xxhash64("host"), F.lit(0)).alias("h"), F.col("host").isNull().alias("no_host")
-    )
-    joined = keyed.join(common, host, "left").select("id", *_COUNTS, "text", F.array_intersect("lines", "of_host_lines").alias("common"))
+    host, key = ["h", "no_host"], ["h", "no_host", "fa", "fb"]
+    pairs = texts.select(*key, F.explode("lines").alias("line"))
+    common = pairs.groupBy(*host, "line").agg(F.count("*").alias("docs")).filter(F.col("docs") > most_docs)
+    # both are written, so that their sizes are known: where the second is small no text is shuffled
+    common = scratch.keep(common.select(*host, "line"), "common")
+    of_text = pairs.join(common, [*host, "line"], "left_semi").groupBy(*key).agg(F.collect_list("line").alias("common"))
+    of_text = scratch.keep(of_text, "common-of-texts")
+
+    keyed = rows.select("id", *_COUNTS, "text", F.coalesce(F.xxhash64("host"), F.lit(0)).alias("h"), F.col("host").isNull().alias("no_host"), "fa", "fb")
+    joined = keyed.join(of_text, key, "left").select("id", *_COUNTS, "text", "common")
     cut = joined.mapInArrow(_cut, _typed(of_id, ", ".join(f"{c} long" for c in _COUNTS) + ", text string, words_removed long"))
     base_failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     return cut.withColumn("base_failed", base_failed).withColumn(
@@ -136,13 +134,12 @@ def clean_documents(
     docs: DataFrame,
     text_col: str = "text",
     host_col: str = "source",
-    least_docs: int = LEAST_DOCS,
-    share_percent: int = SHARE_PERCENT,
+    most_docs: int = MOST_DOCS,
     depleted_percent: int = DEPLETED_PERCENT,
 ) -> DataFrame:
     """The documents that quality_rules keeps, with all their columns, and common lines cut from the text."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
-    rows = _cut_rows(Scratch(docs.sparkSession, "clean-documents"), docs, whole, text_col, host_col, least_docs, share_percent, depleted_percent).filter("kept")
+    rows = _cut_rows(Scratch(docs.sparkSession, "clean-documents"), docs, whole, text_col, host_col, most_docs, depleted_percent).filter("kept")
     return rows.select(*[F.col("text").alias(c) if c == text_col else F.col("id")[c].alias(c) for c in docs.columns])
 
 
@@ -151,8 +148,7 @@ def quality_rules(
     id_col: str = "doc_id",
     text_col: str = "text",
     host_col: str = "source",
-    least_docs: int = LEAST_DOCS,
-    share_percent: int = SHARE_PERCENT,
+    most_docs: int = MOST_DOCS,
     depleted_percent: int = DEPLETED_PERCENT,
 ) -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, words_removed, kept) of every row.
@@ -163,7 +159,7 @@ def quality_rules(
     words_removed is counted on the text that clean_documents gives.
     """
     scratch = Scratch(docs.sparkSession, "quality-rules")
-    rows = _cut_rows(scratch, docs, F.col(id_col), text_col, host_col, least_docs, share_percent, depleted_percent)
+    rows = _cut_rows(scratch, docs, F.col(id_col), text_col, host_col, most_docs, depleted_percent)
     return scratch.only(rows.select(F.col("id").alias(id_col), *_COUNTS, "base_failed", "words_removed", "kept"), "verdict")
 
 
@@ -178,10 +174,8 @@ lines AS (
            len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
     FROM (SELECT source, text, unnest(string_split(text, chr(10))) AS line FROM (SELECT DISTINCT source, text FROM documents WHERE text IS NOT NULL)))
   WHERE n > 0 GROUP BY source, text, lower_line),
-hosts AS (SELECT source, count(DISTINCT text) AS of_host FROM documents GROUP BY source),
 common AS (
-  SELECT l.source, l.lower_line FROM (SELECT source, lower_line, count(*) AS docs FROM lines GROUP BY source, lower_line) l
-  JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source WHERE l.docs > 10 AND 100 * l.docs > of_host),
+  SELECT source, lower_line FROM lines GROUP BY source, lower_line HAVING count(*) > 10),
 removed AS (
   SELECT l.source, l.text, sum(l.n) AS n FROM lines l JOIN common c ON l.source IS NOT DISTINCT FROM c.source AND l.lower_line = c.lower_line
   GROUP BY l.source, l.text),
