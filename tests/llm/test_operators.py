@@ -654,8 +654,9 @@ def test_quality_of_odd_rows(spark, odd):
         assert quality_model.accepted(odd, model).columns == odd.columns
 
 
-def test_rules_of_odd_rows(spark, odd):
-    rows = line_rules.quality_rules(odd).collect()
+@pytest.mark.parametrize("sent", [0, 1 << 20])
+def test_rules_of_odd_rows(spark, odd, sent):
+    rows = line_rules.quality_rules(odd, sent_lines=sent).collect()
     assert len(rows) == len(ODD) and all(r.base_failed for r in rows if r.n_words < 20)
     assert line_rules.quality_rules(odd.limit(0)).count() == 0
 
@@ -668,14 +669,15 @@ def test_shared_lines_deplete(spark):
     assert all((not got[i].kept and got[i].words_removed == 200) if i < 20 else got[i].kept for i in got)
 
 
-def test_the_limit_of_shared_lines_is_that_of_any_host(spark):
+@pytest.mark.parametrize("sent", [0, 1 << 20])
+def test_the_limit_of_shared_lines_is_that_of_any_host(spark, sent):
     def text(i):
         return " ".join(f"u{i}x{j}" for j in range(6)) + (f"\n{eleven}" if i < 11 else f"\n{ten}" if i < 21 else " " + " ".join(f"v{i}y{j}" for j in range(24)))
 
     eleven, ten = (" ".join(f"{c}{j}" for j in range(60)) for c in "ab")
     df = spark.createDataFrame([(i, "hot", text(i)) for i in range(4000)], "doc_id long, source string, text string")
     copies = spark.createDataFrame([(5000 + i, "hot", text(11)) for i in range(30)], df.schema)
-    got = {r.doc_id: r for r in line_rules.quality_rules(df.unionByName(copies)).collect()}
+    got = {r.doc_id: r for r in line_rules.quality_rules(df.unionByName(copies), sent_lines=sent).collect()}
     assert len(got) == 4030 and all((r.words_removed, r.kept) == ((60, False) if i < 11 else (0, True)) for i, r in got.items())
 
 

@@ -21,6 +21,10 @@ from tidewell.llm.scratch import Scratch
 from tidewell.llm.words import window_hashes, word_hashes, word_list
 
 MOST_DOCS, DEPLETED_PERCENT = 10, 80
+
+#: Up to so many common lines (8 bytes each) are sent to all workers; more are joined. The results are the same.
+SENT_LINES = 1 << 20
+
 LEAST_WORDS, MOST_REPEATED_PERCENT, WINDOW = 20, 30, 8
 _SYMBOLS, _WHITE = "#*$%&|<>", " \t\n\x0b\x0c\r"
 
@@ -85,6 +89,25 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
+def line_keys(hosts: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """One number for a line of a host; both are hashes of 64 bits."""
+    return hosts ^ lines
+
+
+def _look_up(keys: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In the place of h and lines, those of the lines that are common: their keys are among keys, which are sorted."""
+    for batch in batches:
+        lists = batch.column("lines")
+        flat, sizes = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
+        of = line_keys(np.repeat(batch.column("h").to_numpy(zero_copy_only=False), sizes), flat)
+        at = np.searchsorted(keys, of)
+        found = keys[np.minimum(at, len(keys) - 1)] == of if len(keys) else np.zeros(len(of), bool)
+        ends = np.concatenate([[0], np.cumsum(found)])[np.concatenate([[0], np.cumsum(sizes)])]
+        common = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[found], pa.int64()))
+        names = ["id", *_COUNTS, "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), common], names=[*names, "common"])
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The text without its common lines, and how many words fewer it has."""
     for batch in batches:
@@ -104,7 +127,7 @@ def _typed(id_field: StructField, rest: str) -> StructType:
     return StructType([StructField("id", id_field.dataType), *StructType.fromDDL(rest).fields])
 
 
-def _cut_rows(scratch: Scratch, docs: DataFrame, ident: Column, text_col: str, host_col: str, most_docs: int, depleted_percent: int) -> DataFrame:
+def _cut_rows(scratch: Scratch, docs: DataFrame, ident: Column, text_col: str, host_col: str, most_docs: int, depleted_percent: int, sent_lines: int) -> DataFrame:
     """(id, the counts, text without common lines, words_removed, base_failed, kept) of every row; id is ident."""
     plain = docs.select(ident.alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
     of_id = plain.schema["id"]
@@ -112,18 +135,26 @@ def _cut_rows(scratch: Scratch, docs: DataFrame, ident: Column, text_col: str, h
 
     # one row for each distinct text of a host, so that copies neither count twice nor are looked up twice
     texts = rows.filter("fa is not null").groupBy("host", "fa", "fb").agg(F.max("lines").alias("lines"))
-    texts = scratch.keep(texts.select(F.coalesce(F.xxhash64("host"), F.lit(0)).alias("h"), F.col("host").isNull().alias("no_host"), "fa", "fb", "lines"), "texts")
-    host, key = ["h", "no_host"], ["h", "no_host", "fa", "fb"]
-    pairs = texts.select(*key, F.explode("lines").alias("line"))
-    common = pairs.groupBy(*host, "line").agg(F.count("*").alias("docs")).filter(F.col("docs") > most_docs)
-    # both are written, so that their sizes are known: where the second is small no text is shuffled
-    common = scratch.keep(common.select(*host, "line"), "common")
-    of_text = pairs.join(common, [*host, "line"], "left_semi").groupBy(*key).agg(F.collect_list("line").alias("common"))
-    of_text = scratch.keep(of_text, "common-of-texts")
-
-    keyed = rows.select("id", *_COUNTS, "text", F.coalesce(F.xxhash64("host"), F.lit(0)).alias("h"), F.col("host").isNull().alias("no_host"), "fa", "fb")
-    joined = keyed.join(of_text, key, "left").select("id", *_COUNTS, "text", "common")
-    cut = joined.mapInArrow(_cut, _typed(of_id, ", ".join(f"{c} long" for c in _COUNTS) + ", text string, words_removed long"))
+    h = F.xxhash64("host", F.col("host").isNull()).alias("h")
+    texts = scratch.keep(texts.select(h, "fa", "fb", "lines"), "texts")
+    pairs = texts.select("h", "fa", "fb", F.explode("lines").alias("line"))
+    common = pairs.groupBy("h", "line").agg(F.count("*").alias("docs")).filter(F.col("docs") > most_docs)
+    common = scratch.keep(common.select("h", "line"), "common")
+    if common.count() <= sent_lines:
+        # no text is shuffled: each worker has the keys of all common lines
+        table = common.toArrow()
+        keys = docs.sparkSession.sparkContext.broadcast(np.sort(line_keys(table["h"].to_numpy(), table["line"].to_numpy())))
+        look = rows.select("id", *_COUNTS, "text", h, "lines")
+
+        def cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return _cut(_look_up(keys.value, batches))
+
+    else:
+        of_text = pairs.join(common, ["h", "line"], "left_semi").groupBy("h", "fa", "fb").agg(F.collect_list("line").alias("common"))
+        of_text = scratch.keep(of_text, "common-of-texts")
+        look = rows.select("id", *_COUNTS, "text", h, "fa", "fb").join(of_text, ["h", "fa", "fb"], "left").select("id", *_COUNTS, "text", "common")
+        cut_rows = _cut
+    cut = look.mapInArrow(cut_rows, _typed(of_id, ", ".join(f"{c} long" for c in _COUNTS) + ", text string, words_removed long"))
     base_failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     return cut.withColumn("base_failed", base_failed).withColumn(
         "kept", ~F.col("base_failed") & (100 * F.col("words_removed") <= depleted_percent * F.col("n_words"))
@@ -136,10 +167,14 @@ def clean_documents(
     host_col: str = "source",
     most_docs: int = MOST_DOCS,
     depleted_percent: int = DEPLETED_PERCENT,
+    sent_lines: int = SENT_LINES,
 ) -> DataFrame:
-    """The documents that quality_rules keeps, with all their columns, and common lines cut from the text."""
+    """The documents that quality_rules keeps, with all their columns, and common lines cut from the text.
+
+    Up to sent_lines common lines are sent to all workers, more are joined; the results are the same.
+    """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
-    rows = _cut_rows(Scratch(docs.sparkSession, "clean-documents"), docs, whole, text_col, host_col, most_docs, depleted_percent).filter("kept")
+    rows = _cut_rows(Scratch(docs.sparkSession, "clean-documents"), docs, whole, text_col, host_col, most_docs, depleted_percent, sent_lines).filter("kept")
     return rows.select(*[F.col("text").alias(c) if c == text_col else F.col("id")[c].alias(c) for c in docs.columns])
 
 
@@ -150,6 +185,7 @@ def quality_rules(
     host_col: str = "source",
     most_docs: int = MOST_DOCS,
     depleted_percent: int = DEPLETED_PERCENT,
+    sent_lines: int = SENT_LINES,
 ) -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, words_removed, kept) of every row.
 
@@ -159,7 +195,7 @@ def quality_rules(
     words_removed is counted on the text that clean_documents gives.
     """
     scratch = Scratch(docs.sparkSession, "quality-rules")
-    rows = _cut_rows(scratch, docs, F.col(id_col), text_col, host_col, most_docs, depleted_percent)
+    rows = _cut_rows(scratch, docs, F.col(id_col), text_col, host_col, most_docs, depleted_percent, sent_lines)
     return scratch.only(rows.select(F.col("id").alias(id_col), *_COUNTS, "base_failed", "words_removed", "kept"), "verdict")
 
 
