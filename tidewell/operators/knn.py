@@ -61,8 +61,9 @@ def knn(df: DataFrame, vector_col: str, query: Sequence[float] | DataFrame, k: i
             raise KnnError("the query vector is empty")
         q = F.lit([float(x) for x in query])
     d = distance(vector_col, q, metric)
-    near = near.filter(F.size(vector_col) == F.size(q)).withColumn("__d", d).filter("__d is not null")
-    near = near.orderBy("__d", tie or others[0]).limit(k)
+    near = near.filter(F.size(vector_col) == F.size(q)).withColumn("__d", d)
+    # null distances go after the top-k, where they stand last: a filter before it would compute each distance twice
+    near = near.orderBy(F.col("__d").asc_nulls_last(), tie or others[0]).limit(k).filter("__d is not null")
     return near.select(*others, F.col("__d").cast("float").alias("_distance"))
 
 
@@ -99,7 +100,8 @@ def _derived(columns: list[str], table: str, column: str, vector: str, k: str, w
     distance_ = _SUMS[metric].format(v="v_", q="q_")
     near = f"SELECT {', '.join(others)}, CAST(`{column}` AS ARRAY<DOUBLE>) AS v_ FROM `{table}`" + (f" WHERE ({where})" if where else "")
     scored = f"SELECT {', '.join(others)}, {distance_} AS d_ FROM ({near}) CROSS JOIN ({vector}) WHERE size(v_) = size(q_)"
-    return f"(SELECT {', '.join(others)}, CAST(d_ AS FLOAT) AS _distance FROM ({scored}) WHERE d_ IS NOT NULL ORDER BY d_, {others[0]} LIMIT {k})"
+    nearest = f"SELECT * FROM ({scored}) ORDER BY d_ NULLS LAST, {others[0]} LIMIT {k}"
+    return f"(SELECT {', '.join(others)}, CAST(d_ AS FLOAT) AS _distance FROM ({nearest}) WHERE d_ IS NOT NULL)"
 
 
 def rewrite(spark: SparkSession, sql: str, tables: VectorTables, names: tuple[str, ...] = ("knn", "vector_knn", "lance_knn")) -> str:
