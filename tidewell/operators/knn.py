@@ -9,12 +9,16 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions.dialect import array_literals, calls
 
+if TYPE_CHECKING:
+    from tidewell.operators.vector_index import VectorIndex
+
 METRICS = ("l2", "cosine", "dot")
 
 
@@ -69,14 +73,20 @@ def knn(df: DataFrame, vector_col: str, query: Sequence[float] | DataFrame, k: i
 
 @dataclass
 class VectorTables:
-    """Tables that the table function can search: name -> metric."""
+    """Tables that the table function can search: name -> metric, and name -> index where there is one."""
 
     metrics: dict[str, str] = field(default_factory=dict)
+    indexes: dict[str, VectorIndex] = field(default_factory=dict)
 
-    def register(self, name: str, metric: str = "l2") -> None:
+    def register(self, name: str, metric: str = "l2", index: VectorIndex | None = None) -> None:
         if metric not in METRICS:
             raise KnnError(f"unknown metric {metric!r}")
+        if index is not None and index.metric != metric:
+            raise KnnError(f"the index of {name!r} is for {index.metric}, not for {metric}")
         self.metrics[name] = metric
+        self.indexes.pop(name, None)
+        if index is not None:
+            self.indexes[name] = index
 
 
 def _text(argument: str, what: str) -> str:
@@ -94,11 +104,11 @@ _SUMS = {
 }
 
 
-def _derived(columns: list[str], table: str, column: str, vector: str, k: str, where: str | None, metric: str) -> str:
+def _derived(columns: list[str], relation: str, column: str, vector: str, k: str, where: str | None, metric: str) -> str:
     """The call as a derived table: the table's columns without the vector, and _distance."""
     others = [f"`{c}`" for c in columns if c != column]
     distance_ = _SUMS[metric].format(v="v_", q="q_")
-    near = f"SELECT {', '.join(others)}, CAST(`{column}` AS ARRAY<DOUBLE>) AS v_ FROM `{table}`" + (f" WHERE ({where})" if where else "")
+    near = f"SELECT {', '.join(others)}, CAST(`{column}` AS ARRAY<DOUBLE>) AS v_ FROM {relation}" + (f" WHERE ({where})" if where else "")
     scored = f"SELECT {', '.join(others)}, {distance_} AS d_ FROM ({near}) CROSS JOIN ({vector}) WHERE size(v_) = size(q_)"
     nearest = f"SELECT * FROM ({scored}) ORDER BY d_ NULLS LAST, {others[0]} LIMIT {k}"
     return f"(SELECT {', '.join(others)}, CAST(d_ AS FLOAT) AS _distance FROM ({nearest}) WHERE d_ IS NOT NULL)"
@@ -108,7 +118,8 @@ def rewrite(spark: SparkSession, sql: str, tables: VectorTables, names: tuple[st
     """Calls knn('table', 'column', vector, k [, 'filter']) in sql as derived tables, for Catalyst to resolve and bind.
 
     vector is an array literal or a scalar subquery in parentheses, which may name the query's parameters and common table
-    expressions; k is an integer literal or a parameter.
+    expressions; k is an integer literal or a parameter. A table's index is used where vector and k are literals and there is
+    no filter, as the cells to read are known then; all other calls are exact.
     """
     for start, end, args in calls(sql, names):
         if not 4 <= len(args) <= 5:
@@ -131,5 +142,9 @@ def rewrite(spark: SparkSession, sql: str, tables: VectorTables, names: tuple[st
             if not isinstance(row["q"], list) or not row["q"] or not all(isinstance(x, (int, float)) or hasattr(x, "as_tuple") for x in row["q"]):
                 raise KnnError("the vector must be an array of numbers")
             vector = f"SELECT CAST({args[2]} AS ARRAY<DOUBLE>) AS q_"
-        sql = sql[:start] + _derived(columns, table, column, vector, k[1] or k[0], where, tables.metrics[table]) + sql[end:]
+        relation, index = f"`{table}`", tables.indexes.get(table)
+        if index and not subquery and not where and args[3].isdigit() and index.vector_col == column:
+            cells = index.probed([float(x) for x in row["q"]], int(args[3]))
+            relation = f"parquet.`{index.pattern(cells)}`" if cells else relation
+        sql = sql[:start] + _derived(columns, relation, column, vector, k[1] or k[0], where, tables.metrics[table]) + sql[end:]
     return sql

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from tidewell.functions.dialect import hadoop_path
 from tidewell.operators.knn import VectorTables
+from tidewell.operators.vector_index import open_index
 
 
 class Access(StrEnum):
@@ -248,5 +249,6 @@ def register(spark: SparkSession, sources: list[Source], vectors: VectorTables |
             df.count()
         df.createOrReplaceTempView(s.name)
         if vectors is not None and s.type in ("lance", "vectors"):
-            vectors.register(s.name, s.options.get("metric", "l2"))
+            index = open_index(spark, s.options["index"]) if "index" in s.options else None
+            vectors.register(s.name, s.options.get("metric", "l2"), index)
     return {s.name.lower(): str(s.access_mode) for s in sources}
