@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import models, onnx_file
 from tidewell.operators import knn as knn_
+from tidewell.operators import vector_index
 from tidewell.plans.pipeline import Engine, Pipeline
 from tidewell.sources import docstore, jdbc, kvstore
 from tidewell.sources.context import Access, Source
@@ -210,6 +211,14 @@ def knn_empty_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_.knn(v, "embedding", v.filter("vec_id < 0").select("embedding"), 5).select("vec_id", "label")
 
 
+def knn_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of all vectors, and a search that reads all of its cells, which is exact."""
+    v = _vectors(spark, sf_dir)
+    index = vector_index.build(v, "embedding", f"{_folder(spark)}/index")
+    near = index.search(v.filter("vec_id = 7").first()["embedding"], 10, probes=len(index.cells))
+    return near.select("vec_id", (F.round(F.col("_distance").cast("double"), 4) + F.lit(0.0)).alias("distance"))
+
+
 def linear_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     models.register_linear(spark, "lin", 2.0, 1.0)
     views(spark, sf_dir, "lineitem")
@@ -352,7 +361,7 @@ def queries() -> dict[str, Query]:
         "pipeline_all_null": _pipeline({"priority": None, "min_price": None, "max_price": None, "limit": None}),
         "pipeline_limit": _pipeline({"priority": None, "min_price": None, "max_price": None, "limit": 20}),
         "knn_l2": _knn("l2"), "knn_cosine": _knn("cosine"), "knn_dot": _knn("dot"), "knn_prefilter": _knn("l2", "label = 3", 5),
-        "knn_table_function": knn_table_function, "knn_empty_query": knn_empty_query,
+        "knn_table_function": knn_table_function, "knn_empty_query": knn_empty_query, "knn_index": knn_index,
         "linear_model": linear_model, "cached_source": cached_source, "path_in_sql": path_in_sql,
         "csv_source": csv_source, "json_source": json_source, "created_table": created_table, "jdbc_source": jdbc_source, "documents_source": documents_source,
         "hashes_source": hashes_source, "iceberg_source": iceberg_source, "windowed_events": windowed_events, "onnx_scores": onnx_scores, "recommendations": recommendations,
@@ -368,6 +377,7 @@ def oracle_sql() -> dict[str, str]:
         "knn_l2": _knn_sql("l2"), "knn_cosine": _knn_sql("cosine"), "knn_dot": _knn_sql("dot"), "knn_prefilter": _knn_sql("l2", "label = 3", 5),
         "knn_table_function": "SELECT vec_id, label FROM (SELECT vec_id, label FROM embeddings WHERE label < 8 ORDER BY list_distance(list_transform(embedding, lambda c: c::DOUBLE), (SELECT list_transform(embedding, lambda c: c::DOUBLE) FROM embeddings WHERE vec_id = 3)), vec_id LIMIT 8) WHERE vec_id <> 3",
         "knn_empty_query": "SELECT vec_id, label FROM embeddings WHERE FALSE",
+        "knn_index": _knn_sql("l2"),
         "linear_model": "SELECT l_orderkey, l_linenumber, CAST(CAST(2 * CAST(l_quantity AS FLOAT) + 1 AS FLOAT) AS DOUBLE) AS y FROM lineitem",
         "cached_source": "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey",
         "path_in_sql": "SELECT n_name, r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey",
