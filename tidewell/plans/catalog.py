@@ -99,6 +99,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     "window_rows_frame": "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS s, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 4) AS a FROM events",
     "window_range_frame": "SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near FROM part",
     "window_groups_frame": "SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM part",
+    "window_filter": "SELECT o_orderkey, round(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'F' AND o_totalprice > 1000) OVER (PARTITION BY o_custkey), 2) AS s, count(*) FILTER (WHERE o_orderstatus IN ('O', 'P')) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders",
     "qualify_top1": "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1",
     # order, limits, sets
     "top_k": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 25",
