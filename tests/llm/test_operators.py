@@ -654,7 +654,7 @@ def test_quality_of_odd_rows(spark, odd):
         assert quality_model.accepted(odd, model).columns == odd.columns
 
 
-@pytest.mark.parametrize("sent", [0, 1 << 20])
+@pytest.mark.parametrize("sent", [0, line_rules.SENT_LINES])
 def test_rules_of_odd_rows(spark, odd, sent):
     rows = line_rules.quality_rules(odd, sent_lines=sent).collect()
     assert len(rows) == len(ODD) and all(r.base_failed for r in rows if r.n_words < 20)
@@ -669,7 +669,7 @@ def test_shared_lines_deplete(spark):
     assert all((not got[i].kept and got[i].words_removed == 200) if i < 20 else got[i].kept for i in got)
 
 
-@pytest.mark.parametrize("sent", [0, 1 << 20])
+@pytest.mark.parametrize("sent", [0, line_rules.SENT_LINES])
 def test_the_limit_of_shared_lines_is_that_of_any_host(spark, sent):
     def text(i):
         return " ".join(f"u{i}x{j}" for j in range(6)) + (f"\n{eleven}" if i < 11 else f"\n{ten}" if i < 21 else " " + " ".join(f"v{i}y{j}" for j in range(24)))

@@ -23,7 +23,7 @@ from tidewell.llm.words import window_hashes, word_hashes, word_list
 MOST_DOCS, DEPLETED_PERCENT = 10, 80
 
 #: Up to so many common lines (8 bytes each) are sent to all workers; more are joined. The results are the same.
-SENT_LINES = 1 << 20
+SENT_LINES = 1 << 22
 
 LEAST_WORDS, MOST_REPEATED_PERCENT, WINDOW = 20, 30, 8
 _SYMBOLS, _WHITE = "#*$%&|<>", " \t\n\x0b\x0c\r"
