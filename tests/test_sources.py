@@ -107,6 +107,19 @@ def test_documents(spark, tmp_path):
     assert docstore.coerced(2.9, T.LongType()) == 2 and docstore.coerced("x", T.DoubleType()) is None
 
 
+def test_documents_in_a_session_that_pushes_no_filters(spark, tmp_path):
+    docstore.upsert(spark.sql("SELECT string(id) AS code, id % 2 AS odd FROM range(9)"), str(tmp_path), "t", "code")
+    source = Source("t", "mongo", connection_string=str(tmp_path), options={"collection": "t", "primary_key": "code"})
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+    try:
+        engine = Engine(spark, [source])
+        assert [tuple(r) for r in engine.sql("SELECT code, odd FROM t WHERE code = '3'").collect()] == [("3", 1)]
+        assert sorted(r.code for r in engine.sql("SELECT code FROM t WHERE odd = 0").collect()) == ["0", "2", "4", "6", "8"]
+        assert spark.conf.get("spark.sql.python.filterPushdown.enabled") == "false"
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+
 def test_hashes(spark, tmp_path):
     root = str(tmp_path)
     df = spark.createDataFrame([("A1", "Widget", 10, 19.99, None), ("A2", "Gadget", 20, 29.95, b"\xff")], "order_id string, item string, qty int, price double, raw binary")
