@@ -120,6 +120,20 @@ def test_documents_in_a_session_that_pushes_no_filters(spark, tmp_path):
         spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
+def test_key_lookups_in_a_session_without_the_setting(spark, tmp_path):
+    docstore.upsert(spark.sql("SELECT string(id) AS code, id % 2 AS odd FROM range(9)"), str(tmp_path), "t", "code")
+    source = Source("t", "mongo", connection_string=str(tmp_path), options={"collection": "t", "primary_key": "code"})
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    try:
+        engine = Engine(spark, [source])
+        (tmp_path / "t" / "5.json").write_text("whoever reads this fails")
+        assert [tuple(r) for r in engine.sql("SELECT code, odd FROM t WHERE code = '3'").collect()] == [("3", 1)]
+        with pytest.raises(Exception):  # noqa: B017  without a key all documents are read
+            engine.sql("SELECT code FROM t WHERE odd = 0").collect()
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+
 def test_hashes(spark, tmp_path):
     root = str(tmp_path)
     df = spark.createDataFrame([("A1", "Widget", 10, 19.99, None), ("A2", "Gadget", 20, 29.95, b"\xff")], "order_id string, item string, qty int, price double, raw binary")
