@@ -1,4 +1,6 @@
 import json
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import types as T
@@ -87,6 +89,49 @@ def test_database_reads_and_writes(spark, tmp_path):
     assert engine.sql("INSERT OVERWRITE users (name, score) SELECT who, points FROM points").first()["count"] == 3 and engine.sql("SELECT * FROM users").count() == 3
 
 
+_WITH_EXECUTORS = """
+import sys
+from tidewell.plans.pipeline import Engine
+from tidewell.session import session
+from tidewell.sources import jdbc
+from tidewell.sources.context import Access, Source
+
+spark = session("local-cluster[2,1,1024]", **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.checkpoint.dir": f"file://{sys.argv[1]}"})
+jdbc.HELD_ROWS = 700
+url = "jdbc:derby:memory:apart;create=true"
+db = jdbc.Database(spark, url)
+db.execute("CREATE TABLE t (id INT GENERATED ALWAYS AS IDENTITY, k BIGINT, name VARCHAR(5), t TIMESTAMP, price DECIMAL(10,2))")
+spark.range(2000).repartition(3).createOrReplaceTempView("r")
+engine = Engine(spark, [Source("t", "jdbc", connection_string=url, options={"dbtable": "t"}, access_mode=Access.READ_WRITE)])
+rows = "SELECT id AS k, CASE WHEN id % 2 = 0 THEN 'even' ELSE '' END AS name, TIMESTAMP'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, id) AS t, CASE WHEN id % 3 > 0 THEN CAST(id * 0.25 AS DECIMAL(10,2)) END AS price FROM r"
+want = sorted(map(tuple, spark.sql(rows).collect()), key=repr)
+got = lambda: sorted(map(tuple, engine.sql("SELECT k, name, t, price FROM t").collect()), key=repr)
+assert got() == []
+for java8 in ("false", "true"):
+    spark.conf.set("spark.sql.datetime.java8API.enabled", java8)
+    assert engine.sql(f"INSERT INTO t (k, name, t, price) {rows}").first()["count"] == 2000
+    assert got() == want, "rows read differ from those written"
+    before = engine.sql("SELECT k FROM t")
+    assert engine.sql("UPDATE t SET k = -1 WHERE k < {least}", {"least": 500}).first()["count"] == 500
+    assert engine.sql("SELECT k FROM t WHERE k = -1").count() == 500 and before.filter("k = -1").count() == 0
+    try:
+        engine.sql("INSERT INTO t (k, name) SELECT id, CASE WHEN id = 1999 THEN 'too long' ELSE '' END FROM r")
+        raise SystemExit("a name too long was taken")
+    except Exception as e:
+        assert "too long" in str(e), e
+    assert engine.sql("SELECT * FROM t").count() == 2000, "a part of a failed INSERT stayed"
+    assert engine.sql("INSERT OVERWRITE t (k, name) SELECT k, name FROM t WHERE k < 0").first()["count"] == 500
+    assert engine.sql("SELECT DISTINCT k FROM t").first().k == -1 and db.delete("t") == 500 and got() == []
+print("done")
+"""
+
+
+def test_embedded_database_with_executors_apart(tmp_path):
+    """Only the driver sees the database: rows that executors read or make go through it, and none is lost."""
+    run = subprocess.run([sys.executable, "-c", _WITH_EXECUTORS, f"{tmp_path}/shared"], cwd=tmp_path, capture_output=True, text=True, timeout=600)
+    assert run.stdout.endswith("done\n"), run.stderr[-3000:]
+
+
 def test_markers_and_casts():
     assert jdbc.positional("UPDATE t SET a = :a::int WHERE b = ':b' AND c = :c", {"a": 1, "c": 2}) == ("UPDATE t SET a = ?::int WHERE b = ':b' AND c = ?", [1, 2])
 

@@ -145,6 +145,7 @@ class Engine:
         write = guard.target(sql)
         if write and write[0] in ("insert", "update", "delete") and self._source(write[1]):
             return self._write(sql, *write, values, types)
+        self._renew(plain)
         text, views = self._with_paths(params.marked(sql, types, values))
         try:
             text = translate(rewrite(self.spark, text, self.vectors))
@@ -156,6 +157,12 @@ class Engine:
     def _count(self, n: int) -> DataFrame:
         return self.spark.createDataFrame([(n,)], "count long")
 
+    def _renew(self, sql: str) -> None:
+        """Read anew what a query names and views only hold copies of; names in other places do no harm."""
+        for s in self.sources:
+            if re.search(rf"(?i)(?<!\w){re.escape(s.name)}(?!\w)", sql) and context.copied(self.spark, s):
+                context.read(self.spark, s).createOrReplaceTempView(s.name)
+
     def _source(self, name: str) -> context.Source | None:
         return next((s for s in self.sources if s.name.lower() == name and s.type in context.WRITABLE), None)
 

@@ -234,6 +234,13 @@ def check_reachable(spark: SparkSession, path: str) -> None:
         raise ContextError(f"nothing at {path}")
 
 
+def copied(spark: SparkSession, s: Source) -> bool:
+    """Whether the view of a source is a copy that shows no later change: its database is embedded in another JVM than the executors'."""
+    from tidewell.sources import jdbc
+
+    return s.type in ("postgres", "mysql", "jdbc") and jdbc.held_by_driver(spark, jdbc.jdbc_url(s.type, s.connection_string, s.options)[0])
+
+
 def register(spark: SparkSession, sources: list[Source], vectors: VectorTables | None = None) -> dict[str, str]:
     """Register every source as a view of its name; table -> access mode. Vector tables become searchable."""
     check(sources)
