@@ -17,10 +17,11 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidewell.llm import catalog, chat_format, classes, embedding_dedup, language_id, line_rules, mixing, near_dedup, packing, quality_model, secret_scan, token_files, tokens
+from tidewell.llm import catalog, chat_format, classes, embedding_dedup, language_id, line_rules, mixing, near_dedup, packing, quality_model, secret_scan, token_files, tokens, words
 from tidewell.llm.components import components
 from tidewell.llm.scratch import Scratch, ScratchError, collected, shared_root
 from tidewell.llm.tokens import encoder
@@ -748,3 +749,30 @@ def test_pipeline(spark, texts):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and {r.doc_id for r in rows} <= set(texts)
     assert len(lower_word_list("A b")) == 2
+
+
+def test_tasks_give_memory_back(monkeypatch):
+    """What a Python task has used is not kept by its worker, which idles while later stages run in the JVM."""
+    given = []
+    monkeypatch.setattr(words, "give_back", lambda: given.append(1))
+    rows = pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int64()), pa.array(["one two three four five six", None])], names=["doc_id", "text"])
+    marked = pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), rows.column(1), rows.column(0)], names=["y", "text", "key"])
+    tasks = [(near_dedup._sketch(5, 80, near_dedup.Sketcher(40, 6)), rows), (near_dedup._full_sets(5), rows), (secret_scan._scan("doc_id", secret_scan.learned()), rows), (quality_model._extract, marked)]
+    for n, (task, batch) in enumerate(tasks):
+        out = task(iter([batch, batch]))
+        assert next(out).num_rows == 2 and len(given) == n
+        assert sum(x.num_rows for x in out) == 2 and len(given) == n + 1
+    monkeypatch.undo()
+    words.give_back()
+
+
+def test_stages_of_the_pipeline_start_on_collected_heaps(spark):
+    import corpus_pipeline
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = [b for b in beans if b.getName() in ("G1 Old Generation", "MarkSweepCompact", "PS MarkSweep")]
+    for name, stage in corpus_pipeline.STAGES:
+        began = sum(b.getCollectionCount() for b in whole)
+        with pytest.raises((AttributeError, AnalysisException)):  # there is nothing to read
+            stage(spark, None, "/nowhere")
+        assert sum(b.getCollectionCount() for b in whole) > began, name

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tidewell.llm.classes import of_class
 from tidewell.llm.components import components
 from tidewell.llm.scratch import Scratch
-from tidewell.llm.words import mix, shingle_set, spare_memory
+from tidewell.llm.words import frugal, mix, shingle_set
 
 #: Members that share a shingle are paired in blocks of about so many.
 PAIR_BLOCK = 512
@@ -90,8 +90,8 @@ def needs_bands(n: int, percent: int) -> bool:
 def _sketch(words: int, percent: int, sketcher: Sketcher):
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("fa", pa.int64()), ("fb", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spare_memory()
         for batch in batches:
             for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
                 sets = [shingle_set(t, words) for t in part.column(1).to_pylist()]
@@ -115,8 +115,8 @@ def _sketch(words: int, percent: int, sketcher: Sketcher):
 
 
 def _full_sets(words: int):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spare_memory()
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 sets = [shingle_set(t, words).view(np.int64) for t in part.column(1).to_pylist()]

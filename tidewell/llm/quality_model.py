@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.words import lower_word_list, mix, spare_memory, window_hashes, word_hashes
+from tidewell.llm.words import frugal, lower_word_list, mix, window_hashes, word_hashes
 
 BITS, SHAPE_N, REPEAT_N, LEAST_DOCS = 18, 5, 4, 5
 #: Labelled documents the model is fitted on: all up to this many, else about this many by hash.
@@ -123,8 +123,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 1.0, cost: fl
     return QualityModel((w * ratio).astype(np.float32), (ratio * ratio).astype(np.float32), float(bias))
 
 
+@frugal
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    spare_memory()
     for batch in batches:
         rows = [features(t) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.int32()))], names=["y", "key", "features"])
@@ -159,8 +159,8 @@ def train(
 
 
 def _scorer(shared, id_name: str):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spare_memory()
         for batch in batches:
             scores = [shared.value.score(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=[id_name, "score"])
@@ -183,8 +183,8 @@ def accepted(docs: DataFrame, model: QualityModel, text_col: str = "text") -> Da
     """The rows of docs that are predicted 1; all columns as they were."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spare_memory()
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             yield batch.filter(pa.array([shared.value.score(t) >= 0.5 for t in texts], pa.bool_()))

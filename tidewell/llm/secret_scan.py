@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.words import spare_memory
+from tidewell.llm.words import frugal
 
 Span = tuple[str, int, int]
 
@@ -368,8 +368,8 @@ _ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()),
 
 
 def _scan(id_name: str, formats: Formats):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spare_memory()
         for batch in batches:
             found = [[{"kind": k, "start": a, "end": b} for k, a, b in spans(t, formats)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _ARROW_SPANS)], names=[id_name, "spans"])
@@ -405,8 +405,8 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the secrets in text replaced; other columns, rows and null texts as they were."""
     formats = learned()
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spare_memory()
         for batch in batches:
             i = batch.schema.get_field_index(text_col)
             clean = pa.array([redacted(t, formats=formats) for t in batch.column(i).to_pylist()], pa.string())
